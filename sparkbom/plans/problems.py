@@ -52,14 +52,14 @@ DOWN = """tree AS (SELECT id AS node_id, id AS root_id, 0 AS depth FROM ids WHER
 SQL = {
     "p2_found": f"""WITH RECURSIVE {LINKS}, {DOWN},
 stuck AS (SELECT l.* FROM links l WHERE l.child NOT IN (SELECT node_id FROM tree)),
-walk AS (SELECT child AS id, parent AS at FROM stuck UNION SELECT w.id, s.parent FROM walk w JOIN stuck s ON s.child = w.at),
-oncycle AS (SELECT DISTINCT id FROM walk WHERE id = at),
-low AS (SELECT w.id, min(w.at) AS low FROM walk w JOIN oncycle c ON c.id = w.at GROUP BY w.id)
+walk AS (SELECT child AS id, parent AS cur FROM stuck UNION SELECT w.id, s.parent FROM walk w JOIN stuck s ON s.child = w.cur),
+oncycle AS (SELECT DISTINCT id FROM walk WHERE id = cur),
+low AS (SELECT w.id, min(w.cur) AS low FROM walk w JOIN oncycle c ON c.id = w.cur GROUP BY w.id)
 SELECT node_id, root_id, CAST(depth AS INTEGER) AS depth FROM tree UNION ALL SELECT id, low, -1 FROM low""",
     "p2_ranges": f"""WITH RECURSIVE {LINKS}, {DOWN},
-up AS (SELECT node_id AS id, node_id AS at FROM tree UNION ALL SELECT u.id, l.parent FROM up u JOIN links l ON l.child = u.at),
-size AS (SELECT at AS id, count(*) - 1 AS descendants FROM up GROUP BY at)
-SELECT t.node_id, t.root_id, CAST(t.depth AS INTEGER) AS depth, s.descendants FROM tree t JOIN size s ON s.id = t.node_id""",
+up AS (SELECT node_id AS id, node_id AS cur FROM tree UNION ALL SELECT u.id, l.parent FROM up u JOIN links l ON l.child = u.cur),
+sizes AS (SELECT cur AS id, count(*) - 1 AS descendants FROM up GROUP BY cur)
+SELECT t.node_id, t.root_id, CAST(t.depth AS INTEGER) AS depth, s.descendants FROM tree t JOIN sizes s ON s.id = t.node_id""",
     "p2_paths": f"""WITH RECURSIVE {LINKS},
 tree AS (SELECT id AS node_id, 0 AS depth, id AS path FROM ids WHERE id NOT IN (SELECT child FROM links)
   UNION ALL SELECT l.child, t.depth + 1, t.path || ' > ' || l.child FROM tree t JOIN links l ON l.parent = t.node_id)
