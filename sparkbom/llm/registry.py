@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sparkbom.llm.queries_syntax"]
+MODULES = ["sparkbom.llm.queries_syntax", "sparkbom.llm.queries_spam"]
 
 
 def queries() -> dict:
