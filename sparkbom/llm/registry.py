@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sparkbom.llm.queries_syntax", "sparkbom.llm.queries_spam"]
+MODULES = [f"sparkbom.llm.queries_{m}" for m in ("syntax", "spam", "leakage")]
 
 
 def queries() -> dict:
