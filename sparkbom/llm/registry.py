@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = [f"sparkbom.llm.queries_{m}" for m in ("syntax", "spam", "leakage", "origin", "secrets")]
+MODULES = [f"sparkbom.llm.queries_{m}" for m in ("syntax", "spam", "leakage", "origin", "secrets", "mixing")]
 
 
 def queries() -> dict:
