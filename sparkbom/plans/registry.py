@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> oracle).
-MODULES = [f"sparkbom.plans.{m}" for m in ("problems", "graph_queries", "match_queries")]
+MODULES = [f"sparkbom.plans.{m}" for m in ("problems", "graph_queries", "match_queries", "document_queries")]
 
 
 def queries() -> dict:
