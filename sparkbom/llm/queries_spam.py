@@ -20,7 +20,7 @@ def p8_curves(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p8_found, p8_curves)}
 SQL = {
-    "p8_curves": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents WHERE text IS NOT NULL),
+    "p8_curves": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS word FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY doc_id, word),
 r AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, round(coalesce(regr_slope(ln(n), ln(rank)), 0), 4) AS slope FROM r GROUP BY doc_id"""
