@@ -43,4 +43,12 @@ def drop_cut(df: DataFrame) -> None:
     if path:
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions rows for steps whose work per byte is high: at least four tasks per core, and no fewer than
+    ``spark.sql.shuffle.partitions``, which grows with the data."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
