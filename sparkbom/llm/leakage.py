@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkbom.llm.alignment import best_overlap, words
-from sparkbom.session import cut
+from sparkbom.session import cut, spread
 
 WINDOW, STEP, ITEM_STEP = 15, 5, 2
 AXES, EXTRA = 48, 12
@@ -70,7 +70,8 @@ def coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
             rows = [(d, ids) for d, t in zip(part["doc_id"], part["text"]) if max(ids := [number.get(w, -1) for w in words(t)], default=-1) >= 0]
             yield pd.DataFrame(rows, columns=["doc_id", "ids"])
 
-    return docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    one = spread(docs.where("text is not null and doc_id is not null").select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"])
+    return one.mapInPandas(run, "doc_id long, ids array<int>")
 
 
 def _word_sums(texts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def _word_sums(texts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarr
             yield pd.DataFrame({"word": used} | {f"s{i}": total[used, i] for i in range(basis.shape[1])})
 
     schema = "word long, " + ", ".join(f"s{i} double" for i in range(width))
-    rows = texts.select("ids").mapInPandas(run, schema).groupBy("word").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(width))).collect()
+    rows = spread(texts.select("doc_id", "ids"), "doc_id").select("ids").mapInPandas(run, schema).groupBy("word").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(width))).collect()
     out = np.zeros_like(basis)
     for r in rows:
         out[r[0]] = r[1:]
@@ -141,7 +142,7 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.87, least: int =
         return spark.createDataFrame([], schema)
     if len(vocabulary) > WORDS or sum(map(len, texts_of.values())) > PASSAGES * ITEM_STEP:
         raise ValueError("split the items into several query sets")
-    texts = cut(coded(docs.dropDuplicates(["doc_id"]), vocabulary), "coded")
+    texts = cut(coded(docs, vocabulary), "coded")
     seen = texts.select(F.explode(F.array_distinct("ids")).alias("word")).where("word >= 0").groupBy("word").count().collect()
     n = texts.count()
     idf = np.full(len(vocabulary), math.log(n + 1.0) + 1)
@@ -194,4 +195,4 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.87, least: int =
                 search()
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "span", "agreeing"])
 
-    return texts.mapInPandas(run, schema)
+    return spread(texts, "doc_id").mapInPandas(run, schema)

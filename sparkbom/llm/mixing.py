@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkbom.session import cut
+from sparkbom.session import cut, spread
 
 BLOCKS = 4096
 #: Bound of the target table, whose rows are read by the driver.
@@ -42,8 +42,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"], "source": part["source"], "tokens": [len(coding.encode_ordinary(t)) for t in part["text"]]})
 
-    one = docs.where("text is not null and doc_id is not null").select("doc_id", F.lower(F.trim("source")).alias("source"), "text").dropDuplicates(["doc_id"])
-    return one.mapInPandas(run, "doc_id long, source string, tokens long")
+    one = docs.where("text is not null and doc_id is not null").select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
+    return spread(one, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, source string, tokens long")
 
 
 def entropy(weights: list[float]) -> float:

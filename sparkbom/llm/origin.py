@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkbom.llm import layout as L
-from sparkbom.session import cut
+from sparkbom.session import cut, spread
 
 SMALL = 200
 #: Bound of the known third-party originals that are broadcast, in characters.
@@ -92,7 +92,7 @@ def origins(files: DataFrame, upstream: DataFrame, similar: float = 0.8) -> Data
                 reason.append(found[1])
             yield part.assign(origin=origin, reason=reason)[["file_id", "root", "file", "origin", "reason"]]
 
-    one = files.select("file_id", "root", "file", "content").dropDuplicates(["file_id"])
+    one = spread(files.select("file_id", "root", "file", "content"), "file_id").dropDuplicates(["file_id"])
     by_file = one.mapInPandas(run, "file_id long, root string, file string, origin string, reason string")
     tree = cut(merkle(one), "merkle")
     copies = tree.join(shared_subtrees(tree, upstream), "hash", "left_semi").select("root", "path")

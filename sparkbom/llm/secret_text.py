@@ -41,10 +41,14 @@ def entropy(text: str) -> float:
 
 def usable(value: str) -> bool:
     """Whether a literal can be a credential: no placeholder, reference, field name, sentence or path."""
-    if not 6 <= len(value) <= 4096 or _HOLDER.search(value) or re.search(r"\s", value) or value.startswith(("/", "./", "../", "http://", "https://")):
+    if not 8 <= len(value) <= 4096 or _HOLDER.search(value) or re.search(r"\s", value) or value.startswith(("/", "./", "../", "http://", "https://")):
         return False
     classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", r"\d", r"[^\w]"))
-    return not _IDENT.match(value) and (bool(re.search(r"\d", value)) or classes >= 3) and len(set(value)) >= 5
+    if len(set(value)) < 5:
+        return False
+    if value.isascii() and value.isalpha():  # letters alone: only without the look of words
+        return len(value) >= 10 and len(re.findall("[a-z][A-Z]", value)) >= 2 and bool(re.search("[A-Z]{2}[a-z]|[A-Z]{3}", value))
+    return not _IDENT.match(value) and (bool(re.search(r"\d", value)) or classes >= 3)
 
 
 def structured(value: str) -> bool:

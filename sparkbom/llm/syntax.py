@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkbom.llm import grammars, lexers
 from sparkbom.llm.tables import Stack, Tables
+from sparkbom.session import spread
 
 LANGUAGES = {
     "py": ("python", grammars.PYTHON, lexers.python_tokens),
@@ -70,7 +71,7 @@ def parse_status(files: DataFrame) -> DataFrame:
             part = part.assign(line=pd.array([f[0] if f else None for f in found], dtype="Int32"), reason=[f[1] if f else None for f in found], read=part["content"].notna())
             yield part[["file_id", "root", "file", "extension", "line", "reason", "read"]]
 
-    one = files.select("file_id", "root", "file", "content").dropDuplicates(["file_id"]).withColumn("extension", extension_of("file"))
+    one = spread(files.select("file_id", "root", "file", "content"), "file_id").dropDuplicates(["file_id"]).withColumn("extension", extension_of("file"))
     out = one.mapInPandas(run, "file_id long, root string, file string, extension string, line int, reason string, read boolean")
     language = F.create_map(*(F.lit(x) for k, v in LANGUAGES.items() for x in (k, v[0])))[F.col("extension")]
     status = F.when(language.isNull(), "unknown").when(~F.col("read"), "unread").when(F.col("reason").isNotNull(), "broken").otherwise("parsed")
