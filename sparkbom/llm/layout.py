@@ -50,9 +50,12 @@ def layout(extension: str, text: str) -> str | None:
         return "data" if sum(map(len, _TEXT.findall(text))) + len(re.findall(r"[\d,.\s]", text)) > 0.6 * len(text) or text.lstrip()[:1].islower() and "=" not in text[:200] else "generated"
     if len(lines) >= 12 and numbered >= 0.7 * len(lines):
         return "generated"
-    if len(text) >= 400 and sum(map(len, lines)) / len(lines) >= 110:
+    # statements run together in long lines; a long string or a long chain of calls is one statement
+    packed = sum(len(x) for x in lines if len(x) > 200 and (bare := _TEXT.sub("\x01", x)).count(";") >= max(3, len(bare) / 250))
+    if packed >= 0.5 * len(text):
         return "minified"
-    return None
+    solid = sum(len(x) for x in _TEXT.findall(text) if len(x) > 200 and not re.search(r"\s", x))
+    return "data" if solid >= 0.7 * len(text) else None
 
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
