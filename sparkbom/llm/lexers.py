@@ -185,7 +185,9 @@ def toml_conflict(text: str) -> int | None:
 _PY_WORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type".split())
 _PY_CMP = frozenset(["==", "!=", "<=", ">="])
 _PY_BIN = frozenset(["//", "%", "<<", ">>", "&", "^"])
-_PY_NUMBER = re.compile(r"(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:0(?:_?0)*|[1-9](?:_?\d)*)|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)$")
+_PY_DIGITS = r"\d(?:_?\d)*"
+_PY_FLOAT = rf"(?:(?:{_PY_DIGITS})?\.{_PY_DIGITS}|{_PY_DIGITS}\.)(?:[eE][+-]?{_PY_DIGITS})?|{_PY_DIGITS}[eE][+-]?{_PY_DIGITS}"
+_PY_NUMBER = re.compile(rf"(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|0(?:_?0)*|[1-9](?:_?\d)*|(?:{_PY_FLOAT})[jJ]?|{_PY_DIGITS}[jJ])$")
 
 
 def python_tokens(text: str) -> Iterator[Token]:
