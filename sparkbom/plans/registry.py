@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import importlib
 
+from sparkbom.session import shipped
+
 #: Modules with QUERIES (name -> callable) and SQL (name -> oracle).
 MODULES = [f"sparkbom.plans.{m}" for m in ("problems", "graph_queries", "match_queries", "document_queries")]
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in importlib.import_module(m).QUERIES.items()}
+    return {k: shipped(f) for m in MODULES for k, f in importlib.import_module(m).QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

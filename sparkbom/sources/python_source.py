@@ -56,7 +56,7 @@ def file_rows(root: str, file: str, content: str) -> list[tuple]:
         elif isinstance(node, ast.Call):
             name = dotted(node.func)
             first, dot, rest = name.partition(".")
-            here = f"{root}/{file}:{node.lineno}:{node.col_offset}"
+            here = f"{root}/{file}:{node.lineno}:{node.col_offset}:{node.end_lineno}:{node.end_col_offset}"  # chained calls share their start
             literals = [(type(a.value).__name__, repr(a.value)) for a in node.args if isinstance(a, ast.Constant)]
             row("call", id=here, name=name, target=alias.get(first, first) + dot + rest, line=node.lineno, function=function, parent=holder, arguments=[ast.unparse(a) for a in node.args], keywords={k.arg: ast.unparse(k.value) for k in node.keywords if k.arg}, literals=literals)
         elif isinstance(node, ast.Assign):
