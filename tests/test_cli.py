@@ -25,6 +25,6 @@ def test_graph_json_round_trip(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{nope")
     graphs = J.read_graphs(spark, str(tmp_path / "*.json"))
     assert [r.id for r in J.node_rows(graphs).collect()] == ["1"] and J.edge_rows(graphs).count() == 1
-    assert graphs.where("_corrupt_record is not null").count() == 1
+    assert [r._corrupt_record for r in graphs.collect() if r.nodes is None] == ["{nope"]
     out = J.graph_documents(J.node_rows(graphs), J.edge_rows(graphs)).collect()
     assert json.loads(out[0].document)["edges"] == [{"source": "1", "target": "2", "kind": "DFG"}]
