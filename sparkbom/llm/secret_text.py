@@ -6,6 +6,8 @@ import math
 import re
 from collections import Counter
 
+import ahocorasick
+
 _WORD = r"passw(?:or)?d|passwd|passwort|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|priv[_-]?key|secret[_-]?key|signing[_-]?key|sign[_-]?key|encryption[_-]?key|enc[_-]?key|master[_-]?key|mac[_-]?key|hmac[_-]?key|auth(?:orization)?|credentials?|bearer"
 #: Names that speak about a credential, or of something else, without holding one.
 _NOT = re.compile(r"(?:hint|field|name|url|uri|header|prefix|env|path|file|len(?:gth)?|size|type|id|ttl|sha\d*|md5|digest|hash|commit|checksum|label|param|pattern|regex|count|limit|algorithm|host|endpoint|public\w*)$|public|pub_?key", re.I)
@@ -120,3 +122,29 @@ def spellings(secret: str) -> set[str]:
         plain = secret.replace("\\r\\n", "\n").replace("\\n", "\n").replace("\r\n", "\n")
         out |= {plain, plain.replace("\n", "\\n"), plain.replace("\n", "\\\\n"), plain.replace("\n", "\r\n"), plain.replace("\n", "\\r\\n")}
     return out
+
+
+#: A line can only hold a credential in a context that speaks of one, and a run of characters that looks like one.
+_CONTEXT = ahocorasick.Automaton()
+for _w in "pass pwd secret token key auth cred bearer basic login account connection :// aes des.new des3 fernet chacha blowfish arc2 arc4 salsa hmac jwt cipher algorithms. sig=".split():
+    _CONTEXT.add_word(_w, _w)
+_CONTEXT.make_automaton()
+_RUN = re.compile(r"""[^\s"'`]{8,}""")
+_LOOKS = re.compile(r"[0-9]|[a-z][A-Z]|[!#$%&*+?@^~]")
+
+
+def telling_lines(text: str) -> str:
+    """The lines of a text that may hold a credential; a text with a private key stays whole."""
+    low = text.lower()
+    if "private key" in low or len(low) != len(text):
+        return text
+    kept, end = [], -1
+    for at, _ in _CONTEXT.iter(low):
+        if at < end:
+            continue
+        start, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[start:end]
+        if _LOOKS.search(" ".join(_RUN.findall(line))):
+            kept.append(line)
+    return "\n".join(kept)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbom.llm.secret_text import credentials, spellings, structured
+from sparkbom.llm.secret_text import credentials, spellings, structured, telling_lines
 from sparkbom.session import cut, spread
 
 #: A hand-made value in more repositories than this is a placeholder; a random one may be shared more widely.
@@ -51,27 +51,15 @@ def places(files: DataFrame | None, nodes: DataFrame | None, findings: DataFrame
     return spread(out.where("item_id is not null"), "item_id").dropDuplicates(["place", "item_id"])
 
 
-#: A line can only hold a credential in a context that speaks of one, and a word that looks like one.
-CONTEXT = r"(?i)pass|pwd|secret|token|key|auth|cred|bearer|basic|login|account|connection|://|aes|des3?\.|fernet|chacha|blowfish|arc[24]|salsa|hmac|jwt|cipher|algorithms\.|sig="
-VALUE = r"""(?=[^\s"'`]{8})[^\s"'`]*?(?:[0-9]|[a-z][A-Z]|[!#$%&*+?@^~])"""
-
-
-def telling_lines(texts: DataFrame) -> DataFrame:
-    """The texts cut down, within the JVM, to the lines that may hold a credential; texts with private keys stay whole."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CONTEXT) & x.rlike(VALUE))
-    kept = F.when(F.col("text").contains("PRIVATE KEY"), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return texts.select("root", kept.alias("text")).where("text <> ''")
-
-
 def literal_index(texts: DataFrame) -> DataFrame:
     """``(secret, owners, places, strength)`` of every literal that stands in a credential's context."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(s, r, k) for r, t in zip(part["root"], part["text"]) for s, k in credentials(t).items()]
+            rows = [(s, r, k) for r, t in zip(part["root"], part["text"]) if (lines := telling_lines(t)) for s, k in credentials(lines).items()]
             yield pd.DataFrame(rows, columns=["secret", "root", "strength"])
 
-    found = telling_lines(texts).mapInPandas(run, "secret string, root string, strength int")
+    found = texts.select("root", "text").mapInPandas(run, "secret string, root string, strength int")
     by_root = found.groupBy("secret", "root").agg(F.count("*").alias("n"), F.max("strength").alias("strength"))
     return by_root.groupBy("secret").agg(F.count("root").alias("owners"), F.sum("n").alias("places"), F.max("strength").alias("strength"))
 
