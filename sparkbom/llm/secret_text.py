@@ -10,7 +10,9 @@ import ahocorasick
 
 _WORD = r"passw(?:or)?d|passwd|passwort|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|priv[_-]?key|secret[_-]?key|signing[_-]?key|sign[_-]?key|encryption[_-]?key|enc[_-]?key|master[_-]?key|mac[_-]?key|hmac[_-]?key|auth(?:orization)?|credentials?|bearer"
 #: Names that speak about a credential, or of something else, without holding one.
-_NOT = re.compile(r"(?:hint|field|name|url|uri|header|prefix|env|path|file|len(?:gth)?|size|type|id|ttl|sha\d*|md5|digest|hash|commit|checksum|label|param|pattern|regex|count|limit|algorithm|host|endpoint|public\w*)$|public|pub_?key", re.I)
+_NOT = re.compile(r"(?:hint|field|name|url|uri|prefix|env|len(?:gth)?|size|type|sha\d*|md5|commit|checksum|param|pattern|regex|count|limit|algorithm|host|endpoint|public\w*)$|public|pub_?key", re.I)
+#: Endings that may as well be a word of their own: then only digests are left out.
+_MAYBE_NOT = re.compile(r"(?:header|path|file|id|ttl|digest|hash|label)$", re.I)
 _NAME = re.compile(rf"(?:^|[^a-z])pass(?:$|[^a-z])|(?:^|[^a-z])(?:{_WORD})|(?:{_WORD})(?:[^a-z]|$)|(?:password|secret|token|apikey|accesskey|privatekey|passphrase)", re.I)
 _KEY = re.compile(r"(?:^|_)key$|^key(?:_|$)|Key$")
 _QUOTED = r"""(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"""
@@ -91,7 +93,7 @@ def credentials(text: str) -> dict[str, int]:
             add(m["s"], 2)
     for m in _ASSIGN.finditer(text):
         name, value = m["n"].rpartition(".")[2], m["v"]
-        if "-----" in value or _NOT.search(name) or re.match(r"\w+://", value):
+        if "-----" in value or _NOT.search(name) or (_MAYBE_NOT.search(name) and (_HEX.match(value) or not _NAME.search(name))) or re.match(r"\w+://", value):
             continue
         call = m["call"] or ""
         if re.search(r"getenv|environ|get\(|getpass|load|read|fetch|open|lookup|header", call, re.I):
