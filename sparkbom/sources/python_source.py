@@ -10,9 +10,11 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkbom.session import spread
+
 ROWS = "root string, file string, what string, id string, seq int, name string, line int, function string, parent string, target string, parameters array<string>, arguments array<string>, keywords map<string,string>, code string, literals array<struct<py_type:string,repr:string>>"
 _COLUMNS = [x.strip().split(" ")[0] for x in ROWS.split(", ")]
 
@@ -81,8 +83,8 @@ def parse(files: DataFrame) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    one = files.where("content is not null and file is not null and lower(file) like '%.py'").select("root", "file", "content").distinct()
-    return one.mapInPandas(run, ROWS)
+    one = files.where("content is not null and file is not null and lower(file) like '%.py'").select("root", "file", "content")
+    return spread(one, "root", "file").distinct().mapInPandas(run, ROWS)
 
 
 def parse_errors(files: DataFrame) -> DataFrame:
@@ -110,7 +112,5 @@ def boundary_scan(files: DataFrame, known: tuple[str, ...]) -> DataFrame:
     lines = files.where("content is not null and lower(file) like '%.py'").select("root", "file", "content").distinct().select("root", "file", F.posexplode(F.split("content", "\r\n|\r|\n")).alias("pos", "text"))
     api = F.get(F.filter(F.array(*(F.lit(k) for k in known)), lambda k: F.contains(F.col("text"), F.concat(k, F.lit("(")))), F.lit(0))
     name = F.nullif(F.regexp_extract("text", r"^\s*(?:async\s+)?def\s+(\w+)\s*\(", 1), F.lit(""))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("root", "file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("function", F.last(name, True).over(w)).withColumn("api", api).where("api is not null").select("root", "file", (F.col("pos") + 1).alias("line"), "function", "api")
