@@ -76,23 +76,34 @@ def longest_chains(pairs: DataFrame, cap: int = 24) -> DataFrame:
     """``(fn, chain)``: the longest simple chain of callers that ends at each function, at most ``cap`` long, root first; of
     equal lengths the one whose path from the leaf sorts first.
 
-    Every round extends all chains by one caller and keeps the best per function while no function can repeat, so rounds and
-    not paths bound the work; where a chain meets itself (recursion) it is not extended."""
+    A function all of whose callers are settled is settled by the best of them, so everything above recursion takes one pass
+    per level and no paths are listed. Only from functions on or below a cycle are simple paths enumerated, and only up to the
+    first settled function, whose best chain completes them."""
+    pairs = cut(pairs.select("caller", "callee").where("caller <> callee").distinct(), "pairs")
     fns = pairs.select(F.col("caller").alias("fn")).union(pairs.select("callee")).distinct()
-    best = cut(fns.select("fn", F.array("fn").alias("path")), "chain")  # leaf first
-    for _ in range(cap - 1):
-        up = pairs.select(F.col("callee").alias("fn"), F.col("caller").alias("via"))
-        longer = up.join(best.select(F.col("fn").alias("via"), "path"), "via").where(~F.array_contains("path", F.col("fn")))
-        longer = longer.select("fn", F.concat(F.array("fn"), "path").alias("path"))
-        ranked = best.unionByName(longer).groupBy("fn").agg(F.min(F.struct((-F.size("path")).alias("n"), F.col("path"))).alias("b"))
-        new = cut(ranked.select("fn", F.col("b.path").alias("path")), "chain")
-        grown = new.agg(F.sum(F.size("path"))).first()[0]
-        same = grown == best.agg(F.sum(F.size("path"))).first()[0]
+    wanted = pairs.groupBy(F.col("callee").alias("fn")).agg(F.count("*").alias("callers"))
+    best = cut(fns.join(wanted, "fn", "left_anti").select("fn", F.array("fn").alias("path")), "chain")  # leaf first
+    known = -1
+    while (n := best.count()) != known:
+        known = n
+        up = pairs.join(best.select(F.col("fn").alias("caller"), "path"), "caller").groupBy(F.col("callee").alias("fn"))
+        ready = up.agg(F.count("*").alias("settled"), F.min(F.struct((-F.size("path")).alias("n"), F.col("path"))).alias("b")).join(wanted, "fn").where("settled = callers")
+        ready = ready.select("fn", F.slice(F.concat(F.array("fn"), "b.path"), 1, cap).alias("path")).join(best.select("fn"), "fn", "left_anti")
+        new = cut(best.unionByName(ready), "chain")
         drop_cut(best)
         best = new
-        if same:
-            break
-    return best.select("fn", F.reverse("path").alias("chain"))
+    rest = cut(fns.join(best.select("fn"), "fn", "left_anti"), "rest")
+    front = rest.select("fn", F.array("fn").alias("path"))
+    found, length = front, 1
+    while length < cap and not front.isEmpty():
+        length += 1
+        step = front.withColumn("callee", F.element_at("path", -1)).join(pairs, "callee").where(~F.array_contains("path", F.col("caller"))).select("fn", "path", "caller")
+        step = cut(step.join(best.select(F.col("fn").alias("caller"), F.col("path").alias("above")), "caller", "left"), "step")
+        closed = step.where("above is not null").select("fn", F.slice(F.concat("path", "above"), 1, cap).alias("path"))
+        front = step.where("above is null").select("fn", F.concat("path", F.array("caller")).alias("path"))
+        found = found.unionByName(closed).unionByName(front)
+    longest = found.groupBy("fn").agg(F.min(F.struct((-F.size("path")).alias("n"), F.col("path"))).alias("b")).select("fn", F.col("b.path").alias("path"))
+    return best.unionByName(longest).select("fn", F.reverse("path").alias("chain"))
 
 
 def reach(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...] = ("DFG", "DATA_FLOW", "REACHES"), hops: int = 24) -> DataFrame:

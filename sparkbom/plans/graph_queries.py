@@ -48,7 +48,7 @@ def synthetic_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def longest_call_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Length of the longest chain of callers per function; on cyclic parts chains end where they would repeat."""
+    """The longest simple chain of callers of every function."""
     g = cut(G.call_graph(table(spark, sf, "nodes"), table(spark, sf, "edges")), "calls")
     return G.longest_chains(g).select("fn", F.size("chain").alias("length"), F.concat_ws(" > ", "chain").alias("chain"))
 
@@ -99,6 +99,10 @@ WHERE coalesce(a.id, b.id) <> c.id""",
 u AS (SELECT id, nxt FROM e UNION SELECT nxt, id FROM e),
 w AS (SELECT DISTINCT node_id AS start, node_id AS id, 0 AS depth FROM findings WHERE node_id IS NOT NULL UNION SELECT w.start, u.nxt, w.depth + 1 FROM w JOIN u ON u.id = w.id WHERE w.depth < 24)
 SELECT start, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""",
+    "longest_call_chain": f"""WITH RECURSIVE {CG}, p AS (SELECT fn, [fn] AS path FROM (SELECT caller AS fn FROM g UNION SELECT callee FROM g)
+UNION ALL SELECT p.fn, list_append(p.path, g.caller) FROM p JOIN g ON g.callee = p.path[-1] WHERE NOT list_contains(p.path, g.caller) AND len(p.path) < 24),
+b AS (SELECT fn, path, row_number() OVER (PARTITION BY fn ORDER BY len(path) DESC, path) AS r FROM p)
+SELECT fn, CAST(len(path) AS INTEGER) AS length, array_to_string(list_reverse(path), ' > ') AS chain FROM b WHERE r = 1""",
     "induced_subgraph": f"""WITH {N}, i AS (SELECT DISTINCT n.id FROM n JOIN findings f ON f.root = n.root AND f.file = n.file)
 SELECT upper(trim(kind)) AS kind, count(*) AS n FROM edges WHERE source IN (SELECT id FROM i) AND target IN (SELECT id FROM i) GROUP BY 1""",
     "circular_layout": f"""WITH {N}, p AS (SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY id) AS pos FROM n),
