@@ -22,7 +22,7 @@ def p5_owners(spark: SparkSession, sf: str) -> DataFrame:
 def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Source files with every credential masked; they still parse like the originals."""
     texts = S.places(table(spark, sf, "source_files"), None, None)
-    found = cut(S.occurrences(texts, cut(S.confirmed(S.literal_index(texts)), "secrets")), "found")
+    found = cut(S.occurrences(texts, cut(S.secrets_of(texts), "secrets")), "found")
     return S.redact(texts, found).select("item_id", "text")
 
 

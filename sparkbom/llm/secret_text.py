@@ -17,7 +17,7 @@ _NAME = re.compile(rf"(?:^|[^a-z])pass(?:$|[^a-z])|(?:^|[^a-z])(?:{_WORD})|(?:{_
 _KEY = re.compile(r"(?:^|_)key$|^key(?:_|$)|Key$")
 _QUOTED = r"""(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"""
 #: name = "value", name: "value", "name": "value", x["name"] = "value", name="value" as argument or default
-_ASSIGN = re.compile(rf"""(?P<n>[A-Za-z_][\w.-]*)["'`]?\]?\s*(?::\s*[A-Za-z][\w\[\], .]*)?\s*(?:=>|:=|=(?!=)|:)\s*(?P<call>[A-Za-z_][\w.]*\(\s*)?(?:[bBrRuU]{{0,2}}){_QUOTED}""")
+_ASSIGN = re.compile(rf"""(?<![\w.-])(?P<n>[\w.-]++)["'`]?\]?\s*+(?P<type>:\s*[A-Za-z][\w\[\], .]*)?\s*(?:=>|:=|=(?!=)|:)\s*(?P<call>[A-Za-z_][\w.]*\(\s*)?(?:[bBrRuU]{{0,2}}){_QUOTED}""")
 _LITERAL = re.compile(rf"[bBrRuUfF]{{0,2}}{_QUOTED}")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----)[\s\S]){20,20000}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _SCHEME = re.compile(r"(?:bearer|basic|token|apikey|digest)\s+(?P<s>[^\s\"'`,;]+)\s*$", re.I)
@@ -38,6 +38,21 @@ _HOLDER = re.compile(r"\$\{|\{\{|\{[\w.]*\}|%\(|%s(?![a-z])|<[^<>]*>|\$\(|^\$[A-
 _HEX = re.compile(r"[0-9a-fA-F]+$")
 
 
+#: Names that end in a word for a pass word or phrase, and what such a field holds where it describes a form or a schema.
+_PHRASE = re.compile(r"(?:pass(?:word|wd|phrase)?|passwort|pwd)\d*$", re.I)
+_FORM = re.compile(r"(?:string|text|str|varchar|bytes|hidden|input|object|required|optional|none|null|nil|true|false|undefined|default|unknown|empty|prompt|plain|basic)$|\b(?:your|please|enter|must|invalid|required|missing|expected|cannot|wrong)\b|^[A-Z].*\s.*[.:?!]$", re.I)
+_FILE = re.compile(r"\.[A-Za-z]\w{0,4}$")
+
+
+#: Words of which a text holds at least one where any of the patterns above matches: those of names, and those of calls.
+_NAMING = frozenset("pass pwd secret token key auth cred bearer login".split())
+_CIPHERS = frozenset("login auth aes des.new des3 fernet chacha blowfish arc2 arc4 salsa hmac jwt cipher algorithms. secret".split())
+_CONTEXT = ahocorasick.Automaton()
+for _w in {*_NAMING, *_CIPHERS, *"basic account connect :// sig=".split()}:
+    _CONTEXT.add_word(_w, _w)
+_CONTEXT.make_automaton()
+
+
 def entropy(text: str) -> float:
     n = len(text)
     return -sum(k / n * math.log2(k / n) for k in Counter(text).values()) if n else 0.0
@@ -55,6 +70,23 @@ def usable(value: str) -> bool:
     return not _IDENT.match(value) and (bool(re.search(r"\d", value)) or classes >= 3)
 
 
+def named_usable(name: str, value: str) -> bool:
+    """Whether a literal that a credential's name is given can be one: also short values, pass phrases of words with blanks or
+    joiners between them, and random values that begin with a slash. Under four characters nothing tells a value from a mark."""
+    if usable(value):
+        return True
+    if not 4 <= len(value) <= 4096 or _HOLDER.search(value) or _FORM.search(value) or len(set(value)) < 3 or re.search(r"[\n\t]|\w+://", value):
+        return False
+    if value.startswith(("/", "./", "../")):
+        return len(value) >= 8 and not re.search(r"\s", value) and not _FILE.search(value) and all(re.search(c, value) for c in ("[a-z]", "[A-Z]", r"\d"))
+    phrase = bool(_PHRASE.search(name)) and not _NAME.search(value)
+    if re.search(r"\s", value):  # pass phrases of words
+        return len(value.split()) >= 3 and (phrase or bool(re.search(r"(?:secret|credentials?)$", name, re.I)) and not _NAME.search(value))
+    if value.isalpha() or _IDENT.match(value):  # other names also name things: a token's kind, a secret's label
+        return phrase
+    return len(value) < 8 and value.isascii() and bool(re.search(r"[A-Za-z]", value)) and bool(re.search(r"\d|[^\w.:,/-]", value)) or phrase and len(value) < 8
+
+
 def structured(value: str) -> bool:
     """A value that no one chose by hand: long, of many different characters, with digits."""
     return usable(value) and (len(value) >= 16 and entropy(value) >= (2.9 if _HEX.match(value) else 3.3)) and bool(re.search(r"\d", value))
@@ -69,29 +101,35 @@ def _inner(value: str) -> str:
 
 
 def credentials(text: str) -> dict[str, int]:
-    """value -> strength (2 named as a credential or of a fixed form, 1 only by a weaker context), as it stands in the text."""
+    """value -> strength (2 named as a credential or of a fixed form, 1 only by a weaker context), as it stands in the text.
+
+    The text is read whole. Each pattern runs only where a word is present without which it cannot match."""
     found: dict[str, int] = {}
+    spoken = {w for _, w in _CONTEXT.iter(text.lower())}
+    if not spoken:
+        return found
 
     def add(value: str, strength: int) -> None:
         if value:
             found[value] = max(found.get(value, 0), strength)
 
-    for m in _PEM.finditer(text):
-        add(m[0], 2)
-    for m in _URL_USER.finditer(text):
-        if usable(m["s"]):
-            add(m["s"], 2)
-    for m in _URL_PARAM.finditer(text):
-        if usable(m["s"]):
-            add(m["s"], 2)
-    for pattern in (_LOGIN, _CONNECT):
+    if "PRIVATE KEY" in text:
+        for m in _PEM.finditer(text):
+            add(m[0], 2)
+    plain = [_URL_PARAM]
+    if "://" in spoken:
+        plain.append(_URL_USER)
+    if spoken & {"login", "cred", "account", "pass"}:
+        plain.append(_LOGIN)
+    if spoken & {"login", "connect"}:
+        plain.append(_CONNECT)
+    if spoken & {"bearer", "basic"}:
+        plain.append(_SENT)
+    for pattern in plain:
         for m in pattern.finditer(text):
             if usable(m["s"]):
                 add(m["s"], 2)
-    for m in _SENT.finditer(text):
-        if usable(m["s"]):
-            add(m["s"], 2)
-    for m in _ASSIGN.finditer(text):
+    for m in _ASSIGN.finditer(text) if spoken & _NAMING else ():
         name, value = m["n"].rpartition(".")[2], m["v"]
         if "-----" in value or _NOT.search(name) or (_MAYBE_NOT.search(name) and (_HEX.match(value) or not _NAME.search(name))) or re.match(r"\w+://", value):
             continue
@@ -102,18 +140,21 @@ def credentials(text: str) -> dict[str, int]:
             value = _inner(value)
             if ":" in value and re.search(r"auth|login|credential|basic", name, re.I):
                 value = value.partition(":")[2]
-            if usable(value):
+            # a block's opening colon with a text below it: what stands there describes the block
+            opens = m["q"] in ('"""', "'''") and not m["type"] and re.search(r":\s*\n\s*\w{0,2}$", text[m.start() : m.start("q")])
+            if usable(value) if opens else named_usable(name, value):
                 add(value, 2)
         elif _KEY.search(name) and structured(value):
             add(value, 2 if "hex" in call or len(value) >= 16 else 1)
-    for m in _CRYPTO.finditer(text):
-        if usable(m["v"]) and len(m["v"]) >= 8:
+    for m in _CRYPTO.finditer(text) if spoken & _CIPHERS else ():
+        if usable(m["v"]):
             add(m["v"], 2)
-    for line in text.split("\n"):
-        if ("#" in line or "//" in line or "/*" in line) and (r := _REMARK.search(line)) and not _CLEARED.search(r[0]) and len(line) < 5000:
-            for m in _LITERAL.finditer(line[: r.start()]):
-                if structured(m["v"]) and "-----" not in m["v"]:
-                    add(m["v"], 2)
+    if spoken & _NAMING:
+        for line in text.split("\n"):
+            if ("#" in line or "//" in line or "/*" in line) and (r := _REMARK.search(line)) and not _CLEARED.search(r[0]) and len(line) < 5000:
+                for m in _LITERAL.finditer(line[: r.start()]):
+                    if structured(m["v"]) and "-----" not in m["v"]:
+                        add(m["v"], 2)
     return found
 
 
@@ -124,29 +165,3 @@ def spellings(secret: str) -> set[str]:
         plain = secret.replace("\\r\\n", "\n").replace("\\n", "\n").replace("\r\n", "\n")
         out |= {plain, plain.replace("\n", "\\n"), plain.replace("\n", "\\\\n"), plain.replace("\n", "\r\n"), plain.replace("\n", "\\r\\n")}
     return out
-
-
-#: A line can only hold a credential in a context that speaks of one, and a run of characters that looks like one.
-_CONTEXT = ahocorasick.Automaton()
-for _w in "pass pwd secret token key auth cred bearer basic login account connection :// aes des.new des3 fernet chacha blowfish arc2 arc4 salsa hmac jwt cipher algorithms. sig=".split():
-    _CONTEXT.add_word(_w, _w)
-_CONTEXT.make_automaton()
-_RUN = re.compile(r"""[^\s"'`]{8,}""")
-_LOOKS = re.compile(r"[0-9]|[a-z][A-Z]|[!#$%&*+?@^~]")
-
-
-def telling_lines(text: str) -> str:
-    """The lines of a text that may hold a credential; a text with a private key stays whole."""
-    low = text.lower()
-    if "private key" in low or len(low) != len(text):
-        return text
-    kept, end = [], -1
-    for at, _ in _CONTEXT.iter(low):
-        if at < end:
-            continue
-        start, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-        end = len(text) if end < 0 else end
-        line = text[start:end]
-        if _LOOKS.search(" ".join(_RUN.findall(line))):
-            kept.append(line)
-    return "\n".join(kept)

@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbom.llm.secret_text import credentials, spellings, structured, telling_lines
+from sparkbom.llm.secret_text import credentials, spellings, structured, usable
 from sparkbom.session import cut, spread
 
-#: A hand-made value in more repositories than this is a placeholder; a random one may be shared more widely.
-OWNERS, OWNERS_RANDOM = 4, 20
+#: A hand-made value in more repositories than this is a placeholder; a random one may be shared more widely. The numbers hold
+#: for up to ROOTS repositories and grow with them. A private key is never a placeholder.
+OWNERS, OWNERS_RANDOM, ROOTS = 4, 20, 40
 #: Values in one automaton.
 BLOCK = 100_000
 TEXTS = "place string, item_id string, root string, text string"
@@ -56,7 +57,7 @@ def literal_index(texts: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(s, r, k) for r, t in zip(part["root"], part["text"]) if (lines := telling_lines(t)) for s, k in credentials(lines).items()]
+            rows = [(s, r, k) for r, t in zip(part["root"], part["text"]) for s, k in credentials(t).items()]
             yield pd.DataFrame(rows, columns=["secret", "root", "strength"])
 
     found = texts.select("root", "text").mapInPandas(run, "secret string, root string, strength int")
@@ -64,14 +65,16 @@ def literal_index(texts: DataFrame) -> DataFrame:
     return by_root.groupBy("secret").agg(F.count("root").alias("owners"), F.sum("n").alias("places"), F.max("strength").alias("strength"))
 
 
-def confirmed(index: DataFrame) -> DataFrame:
-    """``(secret, owners)`` of the values that are no placeholders."""
+def confirmed(index: DataFrame, roots: int = 0) -> DataFrame:
+    """``(secret, owners)`` of the values that are no placeholders among ``roots`` repositories."""
+    scale = max(1.0, roots / ROOTS)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            random = part["secret"].map(lambda s: s.startswith("-----BEGIN") or structured(s)).astype(bool)
-            limit = random.map(lambda r: OWNERS_RANDOM if r else OWNERS)
-            yield part[(part["owners"] <= limit) & (part["strength"] >= random.map(lambda r: 1 if r else 2))][["secret", "owners"]]
+            key = part["secret"].str.startswith("-----BEGIN").astype(bool)
+            random = part["secret"].map(structured).astype(bool) | key
+            limit = random.map(lambda r: scale * (OWNERS_RANDOM if r else OWNERS))
+            yield part[((part["owners"] <= limit) | key) & (part["strength"] >= random.map(lambda r: 1 if r else 2))][["secret", "owners"]]
 
     return index.mapInPandas(run, "secret string, owners long")
 
@@ -85,16 +88,30 @@ def _automaton(secrets: list[str]) -> ahocorasick.Automaton:
     return words
 
 
-def _hits(words: ahocorasick.Automaton, text: str) -> list[tuple[int, str]]:
-    """(start, secret) of whole values; of values that overlap the longest."""
-    spans = []
+def _weak(secret: str) -> bool:
+    """Whether only its name makes a value a credential, so that it is none in a text that does not name it."""
+    return not secret.startswith("-----BEGIN") and not usable(secret)
+
+
+def _spans(words: ahocorasick.Automaton, text: str) -> list[tuple[int, str]]:
+    """(start, secret) of whole values, also where they overlap."""
+    spans, own = [], None
     for end, secret in words.iter(text):
         start = end + 1 - len(secret)
         before, after = text[start - 1 : start], text[end + 1 : end + 2]
         escaped = re.search(r"(?<!\\)\\[nrt]$", text[max(0, start - 3) : start])
         if (secret[0].isalnum() and before.isalnum() and not escaped) or (secret[-1].isalnum() and after.isalnum()):
             continue
+        if _weak(secret):
+            own = credentials(text) if own is None else own
+            if secret not in own or not after or after not in "\"'`" or not before or before not in "\"'`: ":
+                continue
         spans.append((start, secret))
+    return spans
+
+
+def _apart(spans: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Of values that overlap the longest."""
     out: list[tuple[int, str]] = []
     for start, secret in sorted(spans, key=lambda x: (-len(x[1]), x[0])):
         if all(start + len(secret) <= a or a + len(s) <= start for a, s in out):
@@ -102,37 +119,57 @@ def _hits(words: ahocorasick.Automaton, text: str) -> list[tuple[int, str]]:
     return out
 
 
-def _blocks(secrets: DataFrame) -> list[list[str]]:
-    """Confirmed values in blocks of bounded size; more than one block only beyond BLOCK values."""
-    n = secrets.count()
-    count = max(1, -(-n // BLOCK))
-    part = F.pmod(F.xxhash64("secret"), F.lit(count))
-    return [[r[0] for r in secrets.where(part == i).select("secret").collect()] for i in range(count)] if n else []
+def _hits(words: ahocorasick.Automaton, text: str) -> list[tuple[int, str]]:
+    return _apart(_spans(words, text))
 
 
 def occurrences(texts: DataFrame, secrets: DataFrame) -> DataFrame:
-    """``(place, item_id, secret)``: every confirmed value in every text."""
+    """``(place, item_id, secret)``: every confirmed value in every text. Values are collected one block at a time; overlaps are
+    resolved over the hits of all blocks."""
+    spark = texts.sparkSession
+    count = -(-secrets.count() // BLOCK)
     out = None
-    for block in _blocks(secrets):
-        shared = texts.sparkSession.sparkContext.broadcast(block)
+    for i in range(count):
+        block = [r[0] for r in secrets.where(F.pmod(F.xxhash64("secret"), F.lit(count)) == i).select("secret").collect()]
+        if not block:
+            continue
+        shared = spark.sparkContext.broadcast(block)
+        del block
 
         def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             words = _automaton(shared.value)
             for part in parts:
-                rows = [(p, i, s) for p, i, t in zip(part["place"], part["item_id"], part["text"]) for s in {s for _, s in _hits(words, t)}]
-                yield pd.DataFrame(rows, columns=["place", "item_id", "secret"])
-
-        found = texts.select("place", "item_id", "text").mapInPandas(run, "place string, item_id string, secret string")
+                hits = ((p, i, _spans(words, t)) for p, i, t in zip(part["place"], part["item_id"], part["text"]))
+                rows = [(p, i, at, s) for p, i, spans in hits for at, s in (_apart(spans) if count == 1 else spans)]
+                yield pd.DataFrame(rows, columns=["place", "item_id", "at", "secret"])
+
+        found = texts.select("place", "item_id", "text").mapInPandas(run, "place string, item_id string, at long, secret string")
+        if count > 1:
+            found = cut(found, "hits")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return texts.select("place", "item_id", F.lit("").alias("secret")).where("false")
-    return out.distinct()
+    if count > 1:
+
+        def apart(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                rows = [(p, i, s) for p, i, hits in zip(part["place"], part["item_id"], part["hits"]) for _, s in _apart([(h["at"], h["secret"]) for h in hits])]
+                yield pd.DataFrame(rows, columns=["place", "item_id", "secret"])
+
+        out = out.groupBy("place", "item_id").agg(F.collect_list(F.struct("at", "secret")).alias("hits")).mapInPandas(apart, "place string, item_id string, secret string")
+    return out.select("place", "item_id", "secret").distinct()
+
+
+def secrets_of(texts: DataFrame) -> DataFrame:
+    """``(secret, owners)`` of the confirmed values of all texts."""
+    return confirmed(literal_index(texts), texts.select("root").distinct().count())
 
 
 def find(files: DataFrame | None, nodes: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
     """``(place, item_id, secret)`` over all given tables."""
     texts = cut(places(files, nodes, findings), "texts")
-    return occurrences(texts, cut(confirmed(literal_index(texts)), "secrets"))
+    return occurrences(texts, cut(secrets_of(texts), "secrets"))
 
 
 def masked(secret: str) -> str:

@@ -127,3 +127,34 @@ def test_spam(spark):
     assert {r.doc_id for r in spam_pages.spam_pages(table).collect()} == set(spam)
     assert spam_pages.spam_pages(table.limit(0)).count() == 0
     assert list_share("") == 0.0
+
+
+WHOLE = {
+    'String apiKey =\n    "Hx9$kLm2Qw77";\n': "Hx9$kLm2Qw77", 'c = AES.new(\n    b"0123456789abcdeX",\n    AES.MODE_ECB)\n': "0123456789abcdeX", 'password = "s3c!"': "s3c!", 'passphrase = "correct horse battery staple"': "correct horse battery staple",
+    'secret = "/Kx9wQ2mT7vLp4Rz8Yb"': "/Kx9wQ2mT7vLp4Rz8Yb", 'password = "purple-monkey-dishwasher"': "purple-monkey-dishwasher", 'c = connect("db:1", "app", "Hx9$kLm2Qw")': "Hx9$kLm2Qw",
+}
+
+
+@pytest.mark.parametrize("text", WHOLE)
+def test_credentials_in_whole_texts(spark, text):
+    files = spark.createDataFrame([(1, "/r/a", "a.py", text), (2, "/r/b", "b.py", "İ private key\n" + text)], "file_id long, root string, file string, content string")
+    assert {tuple(r) for r in secrets.find(files).collect()} == {("source_files", "1", WHOLE[text]), ("source_files", "2", WHOLE[text])}
+    assert [r.secret for r in secrets.find(files.where("file_id = 1")).collect()] == [WHOLE[text]]
+
+
+@pytest.mark.parametrize("text", ['class Token:\n    """Keeps one local barge per gateway."""', 'def f() -> Token:\n    """Keeps one thing."""', 'token_kind = "access-token"', 'password = "Please enter it."', 'secret = "/etc/app/secret.key"', 'token = "=="'])
+def test_no_credentials(text):
+    assert credentials(text) == {}
+
+
+def test_weak_values_need_their_name_and_keys_any_owners(spark, monkeypatch):
+    key = "-----BEGIN PRIVATE KEY-----\nabcdefghijklmnopqrstuvwxyz\n-----END PRIVATE KEY-----"
+    rows = [(i, f"/r/{i}", "a.py", f'k = """{key}"""') for i in range(30)] + [(50, "/r/x", "a.py", 'password = "s3c!"\n'), (51, "/r/y", "b.py", "note = 's3c!'\n")]
+    rows += [(60, "/r/x", "c.py", 'password = "Hx9$kLm2Qw:more"\n'), (61, "/r/y", "d.py", 'secret = "Hx9$kLm2Qw"\n')]
+    files = spark.createDataFrame(rows, "file_id long, root string, file string, content string")
+    one = {tuple(r)[1:] for r in secrets.find(files).collect()}
+    assert one == {(str(i), key) for i in range(30)} | {("50", "s3c!"), ("60", "Hx9$kLm2Qw:more"), ("61", "Hx9$kLm2Qw")}
+    monkeypatch.setattr(secrets, "BLOCK", 1)
+    assert {tuple(r)[1:] for r in secrets.find(files).collect()} == one
+    index = spark.createDataFrame([("shared-Value-12", 8, 8, 2)], "secret string, owners long, places long, strength int")
+    assert secrets.confirmed(index, 40).count() == 0 and secrets.confirmed(index, 100).count() == 1
