@@ -38,3 +38,47 @@ def best_overlap(a: list[int], b: list[int], error: float = 3.0) -> tuple[int, i
                 best = (cell[0], j - cell[2], cell[1])
         prev = row
     return best[1], best[2]
+
+
+def window(a: list[int], b: list[int], least: int, edits: int) -> tuple[int, int]:
+    """(words of b that a window spans, words that agree): the first window of at least ``least`` words of b, else the longest,
+    that stands in a with at most ``edits`` changed, dropped or inserted words wherever they lie between its first and its
+    last word, which agree. From the start of each run of agreeing words the furthest reach is followed edit by edit."""
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        at.setdefault(x, []).append(i)
+    best = (0, 0)
+    for j in range(len(b) - least + 1):
+        for i in at.get(b[j], ()):
+            if i and j and a[i - 1] == b[j - 1]:
+                continue  # the run began earlier and reaches as far
+            front = {i - j: (i, 0)}
+            for _ in range(edits + 1):
+                step: dict[int, tuple[int, int]] = {}
+                for d, (x, n) in front.items():
+                    end = x
+                    while end < len(a) and end - d < len(b) and a[end] == b[end - d]:
+                        end += 1
+                    n += end - x
+                    if end > x and end - d - j > best[0]:
+                        best = (end - d - j, n)
+                    for diagonal, to in ((d, end + 1), (d + 1, end + 1), (d - 1, end)):
+                        if to <= len(a) and to - diagonal <= len(b) and (diagonal not in step or step[diagonal][0] < to):
+                            step[diagonal] = (to, n)
+                if best[0] >= least:
+                    return best
+                front = step
+    return best
+
+
+def differences(a: list[int], b: list[int]) -> int:
+    """Fewest changed, dropped or inserted words with which the whole of b stands somewhere in a."""
+    prev = list(range(len(b) + 1))
+    least = prev[-1]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b, 1):
+            row.append(min(prev[j - 1] + (x != y), prev[j] + 1, row[-1] + 1))
+        prev = row
+        least = min(least, row[-1])
+    return least

@@ -2,7 +2,8 @@
 
 Latent semantic retrieval: passages of all documents become TF-IDF vectors over the words of the items; a randomised SVD,
 whose two passes over the passages are sums within tasks, gives latent axes; every document passage is compared by cosine
-with all item passages, in blocks; a local alignment of the words then decides for each candidate pair.
+with all item passages, in blocks; the words then decide for each candidate pair: a local alignment, or a window with at most
+EDITS edits. Items too short for passages are searched for by their halves, of which an edit leaves one as it is.
 
 The items are the stated query set. Their words (at most WORDS, checked) bound the model and everything that is broadcast;
 sums that leave a task have one row per such word. Instruction lines that several items share are not part of an item.
@@ -21,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbom.llm.alignment import best_overlap, words
+from sparkbom.llm.alignment import best_overlap, differences, window, words
 from sparkbom.session import cut, spread
 
 WINDOW, STEP, ITEM_STEP = 15, 5, 2
 AXES, EXTRA = 48, 12
+#: Changed, dropped or inserted words that a window of the least length may hold anywhere; shorter items in proportion.
+EDITS = 2
 #: Bounds of what is broadcast: words and passages of all items.
 WORDS, PASSAGES = 200_000, 2_000_000
 #: Cells of the dense block of the TF-IDF matrix that a task holds.
@@ -60,6 +63,31 @@ def _passages(ids: np.ndarray, step: int, idf: np.ndarray, axes: np.ndarray | No
     return starts, vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
 
 
+def _halves(items: dict[int, list[int]], least: int) -> dict[int, dict[tuple, list[tuple[int, int]]]]:
+    """length -> words -> (item, start in the item): pieces of the items under ``least`` words, one more than they may hold edits."""
+    out: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
+    for item, own in items.items():
+        if len(own) < least:
+            count = EDITS * len(own) // least + 1
+            cuts = [len(own) * k // count for k in range(count + 1)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                out.setdefault(hi - lo, {}).setdefault(tuple(own[lo:hi]), []).append((item, lo))
+    return out
+
+
+def _short(ids: list[int], items: dict[int, list[int]], halves: dict[int, dict[tuple, list[tuple[int, int]]]], least: int) -> dict[int, int]:
+    """item -> words that agree, of the short items that stand whole in a text."""
+    out: dict[int, int] = {}
+    for n, known in halves.items():
+        for i in range(len(ids) - n + 1):
+            for item, lo in known.get(tuple(ids[i : i + n]), ()):
+                own = items[item]
+                edits = EDITS * len(own) // least
+                if item not in out and (off := differences(ids[max(0, i - lo - edits) : i - lo + len(own) + edits], own)) <= edits:
+                    out[item] = len(own) - off
+    return out
+
+
 def coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """``(doc_id, ids)``: the words of each document as numbers of item words, -1 for all others; texts without any are left out."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -133,7 +161,7 @@ def latent_axes(texts: DataFrame, idf: np.ndarray, rounds: int = 1) -> np.ndarra
 
 def leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.87, least: int = 20) -> DataFrame:
     """``(doc_id, item_id, span, agreeing)``: documents whose words align with at least ``least`` successive words of an item
-    (or with the whole item), occasional differences aside."""
+    (or with the whole item), occasional differences aside. One row per pair."""
     spark = docs.sparkSession
     texts_of = item_words(items.select("item_id", "text").toPandas())  # the query set
     vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts_of.values() for w in t}))}
@@ -159,9 +187,11 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.87, least: int =
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, axes, owner, table, item_ids = shared.value
+        halves = _halves(item_ids, least)
         for part in parts:
             found = []
             block: list[tuple] = []
+            whole: set[tuple[int, int]] = set()
             size = 0
 
             def search() -> None:
@@ -176,14 +206,24 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.87, least: int =
                 for (k, item), (lo, hi) in near.items():
                     doc, ids, _, _ = block[k]
                     own = item_ids[item]
+                    if (doc, item) in whole:
+                        continue
                     a = ids[max(0, lo - least - 5) : hi + WINDOW + least + 5].tolist()
                     span, agreeing = best_overlap(a, own)
+                    # of a window's words at least this many agree in one run, so the alignment spans them
+                    if span < least <= len(own) and span >= (least - EDITS) // (EDITS + 1):
+                        span, agreeing = max((span, agreeing), window(a, own, least, EDITS))
                     if span >= min(least, len(own)):
                         found.append((doc, item, span, agreeing))
                 block.clear()
+                whole.clear()
 
             for doc, ids in zip(part["doc_id"], part["ids"]):
                 ids = np.asarray(ids)
+                if halves:
+                    for item, agreeing in _short(ids.tolist(), item_ids, halves, least).items():
+                        whole.add((doc, item))
+                        found.append((doc, item, len(item_ids[item]), agreeing))
                 starts, vectors = _passages(ids, STEP, idf, axes, least=0.7 if len(ids) >= WINDOW else 0.0)
                 if len(starts):
                     block.append((doc, ids, starts, vectors.astype(np.float32)))

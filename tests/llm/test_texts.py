@@ -158,3 +158,28 @@ def test_weak_values_need_their_name_and_keys_any_owners(spark, monkeypatch):
     assert {tuple(r)[1:] for r in secrets.find(files).collect()} == one
     index = spark.createDataFrame([("shared-Value-12", 8, 8, 2)], "secret string, owners long, places long, strength int")
     assert secrets.confirmed(index, 40).count() == 0 and secrets.confirmed(index, 100).count() == 1
+
+
+def test_leaks_with_an_edit_near_an_end_and_short_items(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, "t", " ".join(rng.choices(vocabulary, k=80)), "a") for i in range(12)] + [(50, "t", " ".join(rng.choices(vocabulary, k=8)), "a"), (51, "t", " ".join(rng.choices(vocabulary, k=16)), "a")]
+    docs, want = [], set()
+    for d in range(144):
+        body = items[d % 12][2].split()
+        part = body[20:40]
+        at, kind = [1, 2, 3, 16, 17, 18][d // 12 % 6], d // 72
+        part[at : at + 1] = [["changed"], [part[at], "put", "in"][: 1 + (d % 3 > 0)]][kind]
+        text = rng.choices(vocabulary, k=60)
+        text[20:20] = part
+        docs.append((d, " ".join(text), "en", "s", "x"))
+        want.add((d, d % 12))
+    for d, item, drop in ((900, 12, None), (901, 13, None), (902, 13, 0), (903, 13, 9), (904, 12, 3)):
+        part = items[item][2].split()
+        if drop is not None:
+            part[drop] = "changed"
+        docs.append((d, " ".join(["other"] * 33 + part + ["other"] * 31), "en", "s", "x"))
+        if d != 904:
+            want.add((d, items[item][0]))
+    found = [(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, task string, text string, answer string")).collect()]
+    assert set(found) == want and len(found) == len(want)
