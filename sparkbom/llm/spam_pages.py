@@ -2,8 +2,9 @@
 
 Each page's words are ranked by frequency; a line is fitted to log frequency over log rank, and the page's word distribution
 is set against that of its language. Slope, residual and divergence are compared with pages of the same language and a
-similar length (median and absolute deviation), and pages that stand out in any of them are read segment by segment: a page
-whose words stand mainly in list entries or in repetitions of its key phrase is reported.
+similar length (median and absolute deviation, over distinct texts), and pages that stand out in any of them are read segment
+by segment: a page whose words stand mainly in list entries or in repetitions of its key phrase is reported. Where too few
+distinct texts share a language and length to say what is usual, every page is read.
 
 Null texts and texts without words are no pages. The language is the one whose prose fits best, whatever the lang column
 says. All sums run within one page's words, which are hashed by page, or over (language, word) after partial aggregation.
@@ -24,6 +25,8 @@ from sparkbom.session import cut
 KEPT = 2000
 #: Languages kept, by number of pages: bounds the model as well.
 LANGUAGES = 20
+#: Distinct texts that a class of language and length needs, lest a page be its own measure.
+PEERS = 20
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -49,42 +52,46 @@ def language_models(counts: DataFrame) -> DataFrame:
 
 
 def curves(docs: DataFrame) -> DataFrame:
-    """``(doc_id, model, words, slope, residual, divergence, surprise, size)`` of each page; size is a class of length."""
+    """``(doc_id, bag, model, words, slope, residual, divergence, surprise, size)`` of each page; size is a class of length, and
+    pages of the same words have the same bag. Copies count once in the models of the languages."""
     counts = word_counts(docs)
-    model = cut(language_models(counts), "models")
+    once = docs.where("text is not null and doc_id is not null").withColumn("copy", F.xxhash64("text")).dropDuplicates(["lang", "copy"])
+    model = cut(language_models(word_counts(once)), "models")
     other = model.where("word is null").select("model", F.col("logp").alias("other"))
     # KEPT x LANGUAGES rows at most, as one map per word: word -> {model: logp}
     per_word = model.where("word is not null").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("model", "logp"))).alias("known"))
     names = [r[0] for r in other.select("model").orderBy("model").collect()]
     base = {r[0]: r[1] for r in other.collect()}
     if not names:
-        return counts.select("doc_id", F.lit("").alias("model"), F.lit(0).cast("long").alias("words"), *(F.lit(0.0).alias(c) for c in ("slope", "residual", "divergence", "surprise")), F.lit(0).alias("size")).where("false")
+        return counts.select("doc_id", F.lit(0).cast("long").alias("bag"), F.lit("").alias("model"), F.lit(0).cast("long").alias("words"), *(F.lit(0.0).alias(c) for c in ("slope", "residual", "divergence", "surprise")), F.lit(0).alias("size")).where("false")
     w = Window.partitionBy("doc_id")
     ranked = counts.join(F.broadcast(per_word), "word", "left").withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "word")))
     n, x, y = F.col("n"), F.log("rank"), F.log("n")
     said = [F.sum(n * F.coalesce(F.col("known")[m], F.lit(base[m]))).alias(f"said_{i}") for i, m in enumerate(names)]
     page = ranked.groupBy("doc_id").agg(
-        F.sum(n).alias("words"), F.count("*").alias("kinds"), F.sum(n * F.log("n")).alias("nlogn"), F.regr_slope(y, x).alias("slope"), F.regr_syy(y, x).alias("syy"), F.regr_r2(y, x).alias("r2"), *said
+        F.sum(n).alias("words"), F.bit_xor(F.xxhash64("word", "n")).alias("bag"), F.count("*").alias("kinds"), F.sum(n * F.log("n")).alias("nlogn"), F.regr_slope(y, x).alias("slope"), F.regr_syy(y, x).alias("syy"), F.regr_r2(y, x).alias("r2"), *said
     )
     best = F.greatest(*(F.struct(F.col(f"said_{i}").alias("s"), F.lit(m).alias("m")) for i, m in enumerate(names))) if len(names) > 1 else F.struct(F.col("said_0").alias("s"), F.lit(names[0]).alias("m"))
     page = page.withColumn("best", best).withColumn("surprise", -F.col("best.s") / F.col("words"))
     entropy = F.log("words") - F.col("nlogn") / F.col("words")
     return page.select(
-        "doc_id", F.col("best.m").alias("model"), "words", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce(F.sqrt(F.col("syy") * (1 - F.col("r2")) / F.col("kinds")), F.lit(0.0)).alias("residual"),
+        "doc_id", "bag", F.col("best.m").alias("model"), "words", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce(F.sqrt(F.col("syy") * (1 - F.col("r2")) / F.col("kinds")), F.lit(0.0)).alias("residual"),
         (F.col("surprise") - entropy).alias("divergence"), "surprise", F.floor(F.log2("words")).cast("int").alias("size"),
     )
 
 
 def unusual(pages: DataFrame, limit: float = 2.0, steep: float = -2.5) -> DataFrame:
-    """Pages whose slope, residual or divergence lies far from others of their language and length."""
+    """Pages whose slope, residual or divergence lies far from others of their language and length, and all pages where there are
+    fewer than PEERS others to compare them with."""
     pages = cut(pages, "curves")
     cols = ("slope", "residual", "divergence", "surprise")
-    mid = pages.groupBy("model", "size").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in cols))
+    peers = cut(pages.dropDuplicates(["bag"]), "peers")
+    mid = peers.groupBy("model", "size").agg(F.count("*").alias("peers"), *(F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in cols))
     off = pages.join(F.broadcast(mid), ["model", "size"])
-    spread = off.groupBy("model", "size").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"d_{c}") for c in cols))
+    spread = peers.join(F.broadcast(mid), ["model", "size"]).groupBy("model", "size").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"d_{c}") for c in cols))
     off = off.join(F.broadcast(spread), ["model", "size"])
     z = {c: (F.col(c) - F.col(f"m_{c}")) / F.greatest(1.4826 * F.col(f"d_{c}"), F.lit(0.02)) for c in cols}
-    return off.where((z["slope"] < steep) | (z["residual"] > 2 * limit) | (z["divergence"] > limit) | (z["surprise"] > limit)).select("doc_id", *((z[c]).alias(f"z_{c}") for c in cols))
+    return off.where((F.col("peers") < PEERS) | (z["slope"] < steep) | (z["residual"] > 2 * limit) | (z["divergence"] > limit) | (z["surprise"] > limit)).select("doc_id", *((z[c]).alias(f"z_{c}") for c in cols))
 
 
 def spam_pages(docs: DataFrame, share: float = 0.5) -> DataFrame:

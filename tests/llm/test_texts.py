@@ -183,3 +183,14 @@ def test_leaks_with_an_edit_near_an_end_and_short_items(spark):
             want.add((d, items[item][0]))
     found = [(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, task string, text string, answer string")).collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+def test_copied_and_lone_spam(spark):
+    prose = "The {0} reads a value from the store and it is checked by the team before we send it. If the {1} is missing, the job waits for an hour and then stops with an error. We keep the {0} for the old clients that still ask for it."
+    names = ["reader", "broker", "ledger", "packet", "meter", "vault", "relay", "badge"]
+    rng = random.Random(1)
+    docs = [(i, " ".join(prose.format(rng.choice(names), rng.choice(names)) for _ in range(rng.randrange(1, 5))), "en", "s", "x") for i in range(200)]
+    spam = "\n".join(f"[{rng.choice(names)} {i}](https://x.example/{i})" for i in range(30))
+    long = "\n".join(f"[{rng.choice(names)} {i}](https://x.example/{i})" for i in range(3000))
+    rows = docs + [(1000 + i, spam, "en", "s", "x") for i in range(300)] + [(2000, long, "en", "s", "x"), (2001, " ".join(d[1] for d in docs[:90]), "en", "s", "x")]
+    assert {r.doc_id for r in spam_pages.spam_pages(spark.createDataFrame(rows, DOC)).collect()} == {*range(1000, 1300), 2000}
