@@ -20,10 +20,10 @@ def p5_owners(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    """Source files with every credential masked; they still parse like the originals."""
-    texts = S.places(table(spark, sf, "source_files"), None, None)
-    found = cut(S.occurrences(texts, cut(S.secrets_of(texts), "secrets")), "found")
-    return S.redact(texts, found).select("item_id", "text")
+    """Every string of files, nodes and findings that holds a credential of any of them, masked; files still parse like the originals."""
+    tables = [table(spark, sf, t) for t in ("source_files", "nodes", "findings")]
+    found = cut(S.find(*tables), "found")
+    return S.redact(S.fields(found, *tables), found)
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_owners, p5_redacted)}

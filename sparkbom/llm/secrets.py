@@ -52,6 +52,22 @@ def places(files: DataFrame | None, nodes: DataFrame | None, findings: DataFrame
     return spread(out.where("item_id is not null"), "item_id").dropDuplicates(["place", "item_id"])
 
 
+def fields(found: DataFrame, files: DataFrame | None, nodes: DataFrame | None, findings: DataFrame | None) -> DataFrame:
+    """``(place, item_id, field, text)``: each string by itself, by its path, of the items that ``found`` names."""
+    p = "properties."
+    one = lambda path, text: F.array(F.struct(F.lit(path).alias("field"), F.col(text).alias("text")))
+    many = lambda path, value="x": F.expr(f"coalesce(transform({path}, (x, i) -> struct(concat('{path}[', i, ']{value[1:]}') as field, {value} as text)), array())")
+    keywords = F.expr("coalesce(transform(map_entries(properties.keywords), e -> struct(concat('properties.keywords.', e.key) as field, e.value as text)), array())")
+    strings = F.concat(*(one(p + c, p + c) for c in ("code", "resolved_name", "callee")), many(p + "parameters"), many(p + "arguments"), many(p + "literal_arguments", "x.repr"), keywords)
+    out = None
+    for place, rows, key, texts in (("source_files", files, "file_id", one("content", "content")), ("nodes", nodes, "id", strings), ("findings", findings, "finding_id", F.concat(one("api_name", "api_name"), many("arguments")))):
+        if rows is not None:
+            mine = rows.withColumn("item_id", F.col(key).cast("string")).join(found.where(F.col("place") == place).select("item_id"), "item_id", "left_semi")
+            part = mine.select(F.lit(place).alias("place"), "item_id", F.explode(texts).alias("x")).select("place", "item_id", "x.field", "x.text").where("text is not null")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def literal_index(texts: DataFrame) -> DataFrame:
     """``(secret, owners, places, strength)`` of every literal that stands in a credential's context."""
 
@@ -93,8 +109,9 @@ def _weak(secret: str) -> bool:
     return not secret.startswith("-----BEGIN") and not usable(secret)
 
 
-def _spans(words: ahocorasick.Automaton, text: str) -> list[tuple[int, str]]:
-    """(start, secret) of whole values, also where they overlap."""
+def _spans(words: ahocorasick.Automaton, text: str, named: bool = False) -> list[tuple[int, str]]:
+    """(start, secret) of whole values, also where they overlap. named: all of them are known to be named in the item of which
+    the text is a field, in which a value may stand without quotes."""
     spans, own = [], None
     for end, secret in words.iter(text):
         start = end + 1 - len(secret)
@@ -102,7 +119,10 @@ def _spans(words: ahocorasick.Automaton, text: str) -> list[tuple[int, str]]:
         escaped = re.search(r"(?<!\\)\\[nrt]$", text[max(0, start - 3) : start])
         if (secret[0].isalnum() and before.isalnum() and not escaped) or (secret[-1].isalnum() and after.isalnum()):
             continue
-        if _weak(secret):
+        if _weak(secret) and named:
+            if after not in "\"'`" or before not in "\"'`: ":
+                continue
+        elif _weak(secret):
             own = credentials(text) if own is None else own
             if secret not in own or not after or after not in "\"'`" or not before or before not in "\"'`: ":
                 continue
@@ -119,10 +139,6 @@ def _apart(spans: list[tuple[int, str]]) -> list[tuple[int, str]]:
     return out
 
 
-def _hits(words: ahocorasick.Automaton, text: str) -> list[tuple[int, str]]:
-    return _apart(_spans(words, text))
-
-
 def occurrences(texts: DataFrame, secrets: DataFrame) -> DataFrame:
     """``(place, item_id, secret)``: every confirmed value in every text. Values are collected one block at a time; overlaps are
     resolved over the hits of all blocks."""
@@ -178,17 +194,21 @@ def masked(secret: str) -> str:
 
 
 def redact(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``(place, item_id, text)`` of the texts that hold credentials, with every one masked in place."""
+    """``(place, item_id, text)``, with a column field if ``texts`` has one, of the texts that hold credentials, with every one
+    masked in place."""
+    keys = [c for c in ("place", "item_id", "field") if c in texts.columns]
     mine = found.groupBy("place", "item_id").agg(F.collect_set("secret").alias("secrets"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             done = []
             for text, secrets in zip(part["text"], part["secrets"]):
-                for start, secret in _hits(_automaton(list(secrets)), text):
+                for start, secret in _apart(_spans(_automaton(list(secrets)), text, True)):
                     text = text[:start] + masked(secret) + text[start + len(secret) :]
                 done.append(text)
-            yield part.assign(text=done)[["place", "item_id", "text"]]
+            part = part.assign(masked=done)
+            part = part[part["masked"] != part["text"]]
+            yield part.drop(columns=["text"]).rename(columns={"masked": "text"})[[*keys, "text"]]
 
-    one = texts.dropDuplicates(["place", "item_id"]).join(mine, ["place", "item_id"])
-    return one.select("place", "item_id", "text", "secrets").mapInPandas(run, "place string, item_id string, text string")
+    one = texts.dropDuplicates(keys).join(mine, ["place", "item_id"])
+    return one.select(*keys, "text", "secrets").mapInPandas(run, ", ".join(f"{c} string" for c in (*keys, "text")))

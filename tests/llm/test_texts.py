@@ -194,3 +194,19 @@ def test_copied_and_lone_spam(spark):
     long = "\n".join(f"[{rng.choice(names)} {i}](https://x.example/{i})" for i in range(3000))
     rows = docs + [(1000 + i, spam, "en", "s", "x") for i in range(300)] + [(2000, long, "en", "s", "x"), (2001, " ".join(d[1] for d in docs[:90]), "en", "s", "x")]
     assert {r.doc_id for r in spam_pages.spam_pages(spark.createDataFrame(rows, DOC)).collect()} == {*range(1000, 1300), 2000}
+
+
+def test_every_place_is_redacted(spark, tmp_path):
+    from sparkbom.llm.queries_secrets import p5_redacted
+
+    properties = "struct<parameters: array<string>, code: string, arguments: array<string>, keywords: map<string, string>, resolved_name: string, callee: string, literal_arguments: array<struct<py_type: string, repr: string>>>"
+    call = (["a"], "f(password='Hx9$kLm2Qw', pin='s3c!')", ["x", "'Hx9$kLm2Qw'"], {"password": "'s3c!'"}, "f", "f", [("str", "'Hx9$kLm2Qw'")])
+    spark.createDataFrame([(1, "/r/a", "a.py", "note = 'uses Hx9$kLm2Qw'\n"), (2, "/r/a", "b.py", "x = 1\n")], "file_id long, root string, file string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    spark.createDataFrame([("n1", "/r/a", call), ("n2", "/r/a", None)], f"id string, root string, properties {properties}").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(7, "/r/b", "f", ["k", "'Hx9$kLm2Qw'"]), (8, "/r/b", "f", None)], "finding_id long, root string, api_name string, arguments array<string>").write.parquet(f"{tmp_path}/findings.parquet")
+    got = {(r.place, r.item_id, r.field): r.text for r in p5_redacted(spark, str(tmp_path)).collect()}
+    x, q = "X" * 10, "properties."
+    assert got == {
+        ("source_files", "1", "content"): f"note = 'uses {x}'\n", ("nodes", "n1", q + "code"): f"f(password='{x}', pin='XXXX')", ("nodes", "n1", q + "arguments[1]"): f"'{x}'", ("nodes", "n1", q + "keywords.password"): "'XXXX'",
+        ("nodes", "n1", q + "literal_arguments[0].repr"): f"'{x}'", ("findings", "7", "arguments[1]"): f"'{x}'",
+    }
