@@ -70,3 +70,13 @@ def test_against_sql(spark, name):
     df = registry.queries()[name](spark, sf)
     want = db.execute(f"select {', '.join(df.columns)} from ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_boundary_scan_knows_the_calls_of_the_reference(spark, tmp_path):
+    from sparkbom.plans.document_queries import boundary_scan
+
+    calls = ["PKCS1_OAEP.new", "RSA.generate", "hashlib.pbkdf2_hmac", "Fernet.generate_key", "secrets.token_bytes", "random.randbytes", "jwt.encode"]
+    text = "".join(f"x = {c}(a)\n" for c in calls) + "x = hashlib.md5(hashlib.sha256(a))\nx = Cipher(Fernet(a))\n"
+    spark.createDataFrame([("/r", "a.py", text)], "root string, file string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    got = [r.api for r in boundary_scan(spark, str(tmp_path)).orderBy("line").collect()]
+    assert got == [*calls, "hashlib.sha256", "Fernet"]
