@@ -27,14 +27,16 @@ PYTHON = """
 file = stmt*
 stmt = line | compound
 line = simple (';' simple)* ';'? NEWLINE
-simple = assign | exprs | 'return' exprs? | 'raise' (expr ('from' expr)?)? | 'pass' | 'break' | 'continue' | 'del' targets
+simple = assign | exprs | 'return' exprs? | 'raise' (expr ('from' expr)?)? | 'pass' | 'break' | 'continue' | 'del' dropped (',' dropped)* ','?
   | yield | 'assert' expr (',' expr)? | ('global' | 'nonlocal') name (',' name)* | import | 'type' name tparams? '=' expr
 assign = chain value | single ':' expr ('=' value)? | single AUG value
 chain = targets '=' | chain targets '='
 value = exprs | yield
 yield = 'yield' exprs? | 'yield' 'from' expr
 single = name | primary '.' name | primary '[' slices ']' | '(' single ')'
-target = name | primary '.' name | primary '[' slices ']' | '(' targets? ')' | '[' targets? ']' | '*' target
+plain = name | primary '.' name | primary '[' slices ']' | '(' targets? ')' | '[' targets? ']'
+target = plain | '*' plain
+dropped = name | primary '.' name | primary '[' slices ']' | '(' (dropped (',' dropped)* ','?)? ')' | '[' (dropped (',' dropped)* ','?)? ']'
 targets = target (',' target)* ','?
 import = 'import' dotted ('as' name)? (',' dotted ('as' name)?)* | 'from' origin 'import' names
 origin = dotted | dots dotted?
@@ -42,7 +44,8 @@ dots = '.' | '...' | dots '.' | dots '...'
 names = '*' | aliases | '(' aliases ','? ')'
 aliases = name ('as' name)? (',' name ('as' name)?)*
 dotted = name ('.' name)*
-name = NAME | 'match' | 'case' | 'type'
+name = capture | '_'
+capture = NAME | 'match' | 'case' | 'type'
 exprs = item (',' item)* ','?
 item = expr | '*' arith
 named = expr | name ':=' expr
@@ -57,15 +60,14 @@ unary = ('+' | '-' | '~') unary | power
 power = awaited | awaited '**' unary
 awaited = primary | 'await' primary
 primary = atom | primary '.' name | primary '(' args? ')' | primary '(' named for ')' | primary '[' slices ']'
-atom = name | NUMBER | strings | 'None' | 'True' | 'False' | '...' | '(' tuple? ')' | '(' yield ')' | '(' named for ')' | '[' tuple? ']' | '[' named for ']'
+atom = name | NUMBER | IMAGINARY | strings | 'None' | 'True' | 'False' | '...' | '(' tuple? ')' | '(' yield ')' | '(' named for ')' | '[' tuple? ']' | '[' named for ']'
   | '{' '}' | '{' pairs '}' | '{' expr ':' expr for '}' | '{' tuple '}' | '{' named for '}'
 tuple = titem (',' titem)* ','?
 titem = named | '*' arith
 pairs = pair (',' pair)* ','?
 pair = expr ':' expr | '**' arith
 for = clause | for clause
-clause = 'async'? 'for' targets 'in' bool | clause 'if' cond
-cond = bool | 'lambda' lparams? ':' bool | name ':=' bool
+clause = 'async'? 'for' targets 'in' bool | clause 'if' bool
 args = pos ','? | pos ',' keys ','? | keys ','?
 pos = posarg | pos ',' posarg
 posarg = named | '*' expr
@@ -75,15 +77,38 @@ keys2 = '**' expr | keys2 ',' (key | '**' expr)
 key = name '=' expr
 slices = slice (',' slice)* ','?
 slice = named | '*' arith | expr? ':' expr? | expr? ':' expr? ':' expr?
-strings = string | strings string
+strings = texts | octets
+texts = string | texts string
+octets = BYTES | octets BYTES
 string = STRING | FSTRING_START fpart* FSTRING_END
 fpart = FSTRING_MIDDLE | '{' value '='? fconv? fspec? '}'
 fconv = '!' name
 fspec = ':' fpart*
-lparams = lparam (',' lparam)* ','?
-lparam = name ('=' expr)? | '/' | '*' name? | '**' name
-params = param (',' param)* ','?
-param = name (':' expr)? ('=' expr)? | '/' | '*' | '*' name (':' item)? | '**' name (':' expr)?
+lparams = lhead ','? | lhead ',' ltail ','? | ltail ','?
+lhead = lfree | lgiven | lslash | lslashgiven
+lfree = name | lfree ',' name
+lgiven = lset | lfree ',' lset | lgiven ',' lset
+lslash = lfree ',' '/' | lslash ',' name
+lslashgiven = lgiven ',' '/' | lslash ',' lset | lslashgiven ',' lset
+lset = name '=' expr
+ltail = '*' name lrest | '*' (',' lkey)+ lwide? | lwild
+lrest = (',' lkey)* lwide?
+lkey = name | lset
+lwide = ',' lwild
+lwild = '**' name
+params = head ','? | head ',' tail ','? | tail ','?
+head = free | given | slash | slashgiven
+free = param | free ',' param
+given = set | free ',' set | given ',' set
+slash = free ',' '/' | slash ',' param
+slashgiven = given ',' '/' | slash ',' set | slashgiven ',' set
+param = name (':' expr)?
+set = param '=' expr
+tail = '*' name (':' item)? rest | '*' (',' keyed)+ wide? | wild
+rest = (',' keyed)* wide?
+keyed = param | set
+wide = ',' wild
+wild = '**' param
 tparams = '[' tparam (',' tparam)* ','? ']'
 tparam = name (':' expr)? ('=' expr)? | '*' name ('=' item)? | '**' name ('=' expr)?
 block = NEWLINE INDENT stmt+ DEDENT | line
@@ -94,8 +119,9 @@ elif = 'elif' named ':' block | 'elif' named ':' block else | 'elif' named ':' b
 else = 'else' ':' block
 while = 'while' named ':' block else?
 forstmt = 'for' targets 'in' exprs ':' block else?
-try = 'try' ':' block 'finally' ':' block | 'try' ':' block except+ else? | 'try' ':' block except+ else? 'finally' ':' block
-except = 'except' ':' block | 'except' '*'? expr ('as' name)? ':' block
+try = 'try' ':' block 'finally' ':' block | 'try' ':' block (except+ | group+) else? | 'try' ':' block (except+ | group+) else? 'finally' ':' block
+except = 'except' ':' block | 'except' expr ('as' name)? ':' block
+group = 'except' '*' expr ('as' name)? ':' block
 with = 'with' withitem (',' withitem)* ':' block | 'with' '(' withitem (',' withitem)* ','? ')' ':' block
 withitem = expr | expr 'as' target
 def = 'def' name tparams? '(' params? ')' ('->' expr)? ':' block
@@ -106,88 +132,111 @@ case = 'case' patterns ('if' named)? ':' block
 patterns = pattern | open
 open = starred ',' | starred (',' starred)+ ','?
 starred = pattern | '*' name
-pattern = orpat | orpat 'as' name
+pattern = orpat | orpat 'as' capture
 orpat = closed | orpat '|' closed
-closed = number | strings | 'None' | 'True' | 'False' | dotted | '(' pattern ')' | '(' open? ')' | '[' ']' | '[' starred ']' | '[' open ']' | '{' mapping? '}' | dotted '(' pargs? ')' | '(' '*' name ')'
-number = NUMBER | '-' NUMBER | NUMBER ('+' | '-') NUMBER | '-' NUMBER ('+' | '-') NUMBER
-mapping = mitem (',' mitem)* ','?
-mitem = mkey ':' pattern | '**' name
+closed = number | strings | 'None' | 'True' | 'False' | dotted | '(' pattern ')' | '(' open? ')' | '[' ']' | '[' starred ']' | '[' open ']' | '{' mapping? '}' | dotted '(' pargs? ')'
+number = real | imaginary | real ('+' | '-') IMAGINARY
+real = NUMBER | '-' NUMBER
+imaginary = IMAGINARY | '-' IMAGINARY
+mapping = mitems ','? | mitems ',' '**' capture ','? | '**' capture ','?
+mitems = mitem | mitems ',' mitem
+mitem = mkey ':' pattern
 mkey = number | strings | 'None' | 'True' | 'False' | name '.' dotted
-pargs = parg (',' parg)* ','?
-parg = pattern | name '=' pattern
+pargs = ppos ','? | ppos ',' pkey ','? | pkey ','?
+ppos = pattern | ppos ',' pattern
+pkey = name '=' pattern | pkey ',' name '=' pattern
 """
 
 _JS_WORDS = (
     "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with enum null true false"
 ).split()
-_JS_IDENTS = "NAME async of get set let static await yield".split()
+_JS_IDENTS = "NAME async of get set let static".split()
 _quoted = lambda words: " | ".join(w if w.isupper() else f"'{w}'" for w in words)
 
-# Rules with <S> exist three times: plain, _s (may start a statement: no brace, function or class) and _b (no brace).
+# Rules with <S> exist three times: plain, _s (may start a statement: no brace, function or class) and _b (no brace). <O> is the
+# object pattern where a brace may stand.
 _JS_EXPR = """
 expr<S> = assign<S> | expr<S> ',' assign
-assign<S> = cond<S> | lhs<S> ('=' | ASSIGN) assign | arrow | 'yield' | 'yield' assign | 'yield' '*' assign
+assign<S> = cond<S> | ref<S> ('=' | ASSIGN) assign | array '=' assign<O> | arrow | 'yield' | 'yield' assign | 'yield' '*' assign
 cond<S> = bin<S> | bin<S> '?' assign ':' assign
 bin<S> = unary<S> | bin<S> binop unary | PRIVATE 'in' unary
-unary<S> = postfix<S> | unop unary | ('++' | '--' | NLINC) unary
-postfix<S> = lhs<S> | lhs<S> '++' | lhs<S> '--'
-lhs<S> = atom<S> | lhs<S> '.' field | lhs<S> '?.' field | lhs<S> '?.' args | lhs<S> '?.' '[' expr ']' | lhs<S> '[' expr ']' | lhs<S> args | lhs<S> template
-  | 'new' newer args | 'new' newer | 'new' '.' NAME | 'super' '.' field | 'super' args | 'super' '[' expr ']' | 'import' '(' assign ')'
+unary<S> = postfix<S> | unop unary | ('++' | '--' | NLINC) ref
+postfix<S> = lhs<S> | ref<S> '++' | ref<S> '--'
+lhs<S> = mem<S> | chain<S>
+chain<S> = lhs<S> '?.' field | lhs<S> '?.' args | lhs<S> '?.' '[' expr ']' | chain<S> '.' field | chain<S> '[' expr ']' | chain<S> args | chain<S> template
+mem<S> = ref<S> | val<S>
+ref<S> = ident | mem<S> '.' field | mem<S> '[' expr ']' | 'super' '.' field | 'super' '[' expr ']' | '(' ref ')'
+val<S> = <A> | mem<S> args | mem<S> template | 'new' newer args | 'new' newer | 'new' '.' NAME | 'super' args | 'import' '(' assign (',' assign)? ','? ')'
 """
-_JS_ATOMS = {
-    "": "atom = ident | NUMBER | STRING | REGEX | 'this' | 'null' | 'true' | 'false' | template | '(' expr ')' | array | object | function | class",
-    "_s": "atom_s = ident | NUMBER | STRING | REGEX | 'this' | 'null' | 'true' | 'false' | template | '(' expr ')' | array",
-    "_b": "atom_b = ident | NUMBER | STRING | REGEX | 'this' | 'null' | 'true' | 'false' | template | '(' expr ')' | array | function | class",
-}
+_JS_ATOM = "NUMBER | STRING | REGEX | 'this' | 'null' | 'true' | 'false' | template | '(' expr ')' | array"
+_JS_STARTS = {"": (_JS_ATOM + " | object | function | class", " | object '=' assign"), "_s": (_JS_ATOM, ""), "_b": (_JS_ATOM + " | function | class", "")}
+# The brace that opens a function's body is FB, with A where it may await and G where it may yield, and the arrow of an async
+# function is =>A: only the rules know which function a brace belongs to, and words mean other things within. COVER is an equals
+# sign that makes sense only if the object turns out to be a pattern.
 JAVASCRIPT = f"""
 script = stmt*
-stmt = block | ';' | decl | expr_s semi | if | loop | 'continue' ident? semi | 'break' ident? semi | 'return' expr? semi | 'throw' expr semi | try | switch
-  | ident ':' stmt | 'debugger' semi | 'with' '(' expr ')' stmt
+stmt = sub | lexical | fdecl | 'class' ident classtail
+sub = block | ';' | 'var' binding (',' binding)* semi | expr_s semi | if | loop | 'continue' ident? semi | 'break' ident? semi | 'return' expr? semi | 'throw' expr semi | try | switch
+  | ident ':' within | 'debugger' semi | 'with' '(' expr ')' sub
+within = sub | fdecl
 semi = ';' | ASI
 block = '{{' stmt* '}}'
-decl = ('var' | 'let' | 'const') binding (',' binding)* semi | 'async'? 'function' '*'? ident '(' params? ')' block | 'class' ident classtail
-binding = bname | bname '=' assign | pattern '=' assign
-bname = ident
-pattern = array | object
-if = 'if' '(' expr ')' stmt | 'if' '(' expr ')' stmt 'else' stmt
-loop = 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' semi | 'do' stmt 'while' '(' expr ')'
-  | 'for' '(' forinit? ';' expr? ';' expr? ')' stmt | 'for' '(' each 'in' expr ')' stmt | 'for' 'await'? '(' each 'of' assign ')' stmt
-forinit = expr | ('var' | 'let' | 'const') binding (',' binding)*
-each = lhs | ('var' | 'let' | 'const') (ident | pattern)
+fblock = FB stmt* '}}'
+ablock = FBA stmt* '}}'
+gblock = FBG stmt* '}}'
+agblock = FBAG stmt* '}}'
+lexical = 'let' lbinding (',' lbinding)* semi | 'const' cbinding (',' cbinding)* semi
+binding = ident | ident '=' assign | pattern '=' assign
+lbinding = lident | cbinding
+cbinding = lident '=' assign | pattern '=' assign
+target = ident | pattern
+pattern = '[' ','* ']' | '[' pelems ','* ']' | '{{' '}}' | '{{' pprop (',' pprop)* ','? '}}' | '{{' (pprop ',')* '...' ident '}}'
+pelems = ','* pelem | pelems ','+ pelem
+pelem = target | target '=' assign | '...' target
+pprop = pname ':' target | pname ':' target '=' assign | ident | ident '=' assign
+if = 'if' '(' expr ')' within | 'if' '(' expr ')' within 'else' within
+loop = 'while' '(' expr ')' sub | 'do' sub 'while' '(' expr ')' semi | 'do' sub 'while' '(' expr ')'
+  | 'for' '(' forinit? ';' expr? ';' expr? ')' sub | 'for' '(' each 'in' expr ')' sub | 'for' 'await'? '(' each 'of' assign ')' sub
+forinit = expr | 'var' binding (',' binding)* | 'let' lbinding (',' lbinding)* | 'const' cbinding (',' cbinding)*
+each = ref | array | object | 'var' target | ('let' | 'const') (lident | pattern)
 try = 'try' block catch | 'try' block catch? 'finally' block
-catch = 'catch' block | 'catch' '(' (ident | pattern) ')' block
+catch = 'catch' block | 'catch' '(' target ')' block
 switch = 'switch' '(' expr ')' '{{' arm* '}}'
 arm = 'case' expr ':' stmt* | 'default' ':' stmt*
-params = param (',' param)* ','?
-param = (ident | pattern) ('=' assign)? | '...' (ident | pattern)
-function = 'async'? 'function' '*'? ident? '(' params? ')' block
+params = plist ','? | plist ',' '...' target | '...' target
+plist = param | plist ',' param
+param = target ('=' assign)?
+fdecl = 'function' ident '(' params? ')' fblock | 'function' '*' ident '(' params? ')' gblock | 'async' 'function' ident '(' params? ')' ablock | 'async' 'function' '*' ident '(' params? ')' agblock
+function = 'function' ident? '(' params? ')' fblock | 'function' '*' ident? '(' params? ')' gblock | 'async' 'function' ident? '(' params? ')' ablock | 'async' 'function' '*' ident? '(' params? ')' agblock
 class = 'class' ident? classtail
 classtail = ('extends' lhs)? '{{' member* '}}'
 member = ';' | 'static'? method | 'static'? pname ('=' assign)? semi | 'static' block
-method = prefix? pname '(' params? ')' block
-prefix = 'get' | 'set' | 'async' | '*' | 'async' '*'
+method = pname '(' params? ')' fblock | ('get' | 'set') pname '(' params? ')' fblock | '*' pname '(' params? ')' gblock | 'async' pname '(' params? ')' ablock | 'async' '*' pname '(' params? ')' agblock
 pname = ident | PRIVATE | STRING | NUMBER | '[' assign ']' | word
 object = '{{' '}}' | '{{' prop (',' prop)* ','? '}}'
-prop = pname ':' assign | ident | ident '=' assign | '...' assign | method
+prop = pname ':' assign | ident | ident COVER assign | '...' assign | method
 array = '[' ','* ']' | '[' elems ','* ']'
 elems = ','* elem | elems ','+ elem
 elem = assign | '...' assign
 args = '(' ')' | '(' elem (',' elem)* ','? ')'
 template = TEMPLATE | THEAD expr (TMID expr)* TTAIL
-arrow = 'async'? ident '=>' body | 'async'? '(' params? ')' '=>' body
-body = block | assign_b
-newer = atom | newer '.' field | newer '[' expr ']' | newer template | 'new' newer args | 'new' '.' NAME
-field = pname0 | PRIVATE
-pname0 = ident | word
-ident = {_quoted(_JS_IDENTS)}
-word = {_quoted(_JS_WORDS)}
+arrow = ident '=>' body | '(' params? ')' '=>' body | 'async' ident '=>A' abody | 'async' '(' params? ')' '=>A' abody
+body = fblock | assign_b
+abody = ablock | assign_b
+newer = ident | {_JS_ATOM} | object | function | class | newer '.' field | newer '[' expr ']' | newer template | 'super' '.' field | 'new' newer args | 'new' '.' NAME
+field = ident | word | PRIVATE
+ident = lident | 'let'
+lident = {_quoted([x for x in _JS_IDENTS if x != "let"])}
+word = {_quoted([*_JS_WORDS, "await", "yield"])}
 binop = BIN | 'in' | 'instanceof' | '+' | '-' | '*' | '/' | '<' | '>'
 unop = '+' | '-' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await'
-""" + "".join(_JS_EXPR.replace("<S>", s) + _JS_ATOMS[s] + "\n" for s in _JS_ATOMS)
+""" + "".join(_JS_EXPR.replace("array '=' assign<O>", "array '=' assign" + o).replace("<S>", k).replace("<A>", a) for k, (a, o) in _JS_STARTS.items())
 
-JAVA_IDENTS = "NAME record var yield sealed permits module open with to".split()
+JAVA_IDENTS = "NAME record var yield sealed permits module open with to requires transitive exports opens uses provides".split()
 JAVA = f"""
-unit = package? import* typedecl*
+unit = package? import* typedecl* | import* annotation* 'open'? 'module' qname '{{' directive* '}}'
+directive = 'requires' ('transitive' | 'static')* qname ';' | ('exports' | 'opens') qname ('to' qnames)? ';' | 'uses' qname ';' | 'provides' qname 'with' qnames ';'
+qnames = qname (',' qname)*
 package = annotation* 'package' qname ';'
 import = 'import' 'static'? qname ';' | 'import' 'static'? qname '.' '*' ';' | ';'
 qname = ident | qname '.' ident
@@ -210,7 +259,7 @@ tparam = annotation* ident ('extends' type ('&' type)*)?
 type = PRIMITIVE dims? | ctype dims?
 ctype = ident | ident targs | ctype '.' ident | ctype '.' ident targs
 targs = '<' '>' | '<' targ (',' targ)* '>'
-targ = type | '?' | '?' 'extends' type | '?' 'super' type
+targ = annotation* type | annotation* '?' | annotation* '?' ('extends' | 'super') annotation* type
 dims = '[' ']' | dims '[' ']'
 classbody = '{{' member* '}}'
 member = ';' | typedecl | block | 'static' block | modifier* field | modifier* tparams? method

@@ -3,14 +3,18 @@
 Every file is parsed whole by tables built from the bundled grammars; the first token that no reading of the grammar accepts
 is the error that is reported.
 
-Null content or a file name without a known extension: no verdict, status ``unread`` or ``unknown``. Empty py and js files
-parse, empty json files do not. Repeated rows of one file count once. Line ends of all kinds are taken as they are.
+Null content or a file name without a known extension: no verdict, status ``unread`` or ``unknown``. Empty py, js, java and
+toml files parse, empty json files do not. Repeated rows of one file count once. Line ends of all kinds are taken as they are.
+A file on which the parser itself fails has status ``failed``, so that it ends no job and is seen in the rates.
+
+Beyond the grammars: names that a TOML document defines twice and days that do not exist, escapes and bytes literals of Python,
+and in JavaScript what a word or brace is by the function around it. Early errors that need names to be resolved, such as a
+variable declared twice or a jump without its loop, are not looked for.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,7 +44,7 @@ def first_error(extension: str, text: str) -> tuple[int, str] | None:
     """(line, reason) of the first error that cannot be recovered from, or None if the text parses as a whole."""
     stack, line = Stack(tables(extension)), 1
     try:
-        for terminals, line, fresh in LANGUAGES[extension][2](text):
+        for terminals, line, fresh in LANGUAGES[extension][2](text, stack):
             if stack.push(terminals):
                 continue
             # a missing semicolon may be put in before a token on a new line or a closing brace
@@ -57,29 +61,41 @@ def first_error(extension: str, text: str) -> tuple[int, str] | None:
     return None
 
 
+def verdict(extension: str, text: str | None) -> tuple[str, int | None, str | None]:
+    """(status, line, reason) of one file."""
+    if extension not in LANGUAGES:
+        return "unknown", None, None
+    if text is None:
+        return "unread", None, None
+    try:
+        error = first_error(extension, text)
+    except Exception as e:  # a fault of the parser is no verdict on the file
+        return "failed", None, type(e).__name__
+    return ("broken", *error) if error else ("parsed", None, None)
+
+
 def extension_of(file: str):
     return F.lower(F.regexp_extract(F.col(file), r"\.([A-Za-z0-9]+)$", 1))
 
 
 def parse_status(files: DataFrame) -> DataFrame:
-    """``(file_id, root, file, language, status, line, reason)``, one row per file: status is parsed, broken, unread or
-    unknown; language is that of the extension."""
+    """``(file_id, root, file, language, status, line, reason)``, one row per file: status is parsed, broken, unread, unknown or
+    failed; language is that of the extension."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [first_error(e, c) if e in LANGUAGES and c is not None else None for e, c in zip(part["extension"], part["content"])]
-            part = part.assign(line=pd.array([f[0] if f else None for f in found], dtype="Int32"), reason=[f[1] if f else None for f in found], read=part["content"].notna())
-            yield part[["file_id", "root", "file", "extension", "line", "reason", "read"]]
+            found = [verdict(e, c) for e, c in zip(part["extension"], part["content"])]
+            part = part.assign(status=[f[0] for f in found], line=pd.array([f[1] for f in found], dtype="Int32"), reason=[f[2] for f in found])
+            yield part[["file_id", "root", "file", "extension", "status", "line", "reason"]]
 
-    one = spread(files.select("file_id", "root", "file", "content"), "file_id").dropDuplicates(["file_id"]).withColumn("extension", extension_of("file"))
-    out = one.mapInPandas(run, "file_id long, root string, file string, extension string, line int, reason string, read boolean")
+    one = spread(files.select("file_id", "root", "file", "content"), "file_id").dropDuplicates(["file_id"]).withColumn("extension", F.coalesce(extension_of("file"), F.lit("")))
+    out = one.mapInPandas(run, "file_id long, root string, file string, extension string, status string, line int, reason string")
     language = F.create_map(*(F.lit(x) for k, v in LANGUAGES.items() for x in (k, v[0])))[F.col("extension")]
-    status = F.when(language.isNull(), "unknown").when(~F.col("read"), "unread").when(F.col("reason").isNotNull(), "broken").otherwise("parsed")
-    return out.select("file_id", "root", "file", language.alias("language"), status.alias("status"), "line", "reason")
+    return out.select("file_id", "root", "file", language.alias("language"), "status", "line", "reason")
 
 
 def rates(status: DataFrame) -> DataFrame:
-    """``(root, language, files, broken, rate)`` of the files that were read."""
-    kept = status.where("status in ('parsed', 'broken')")
-    broken = F.sum(F.when(F.col("status") == "broken", 1).otherwise(0))
-    return kept.groupBy("root", "language").agg(F.count("*").alias("files"), broken.alias("broken"), (broken / F.count("*")).alias("rate"))
+    """``(root, language, files, broken, failed, rate)`` of the files that were read; rate is broken over those with a verdict."""
+    kept = status.where("status in ('parsed', 'broken', 'failed')")
+    count = lambda s: F.count_if(F.col("status") == s)
+    return kept.groupBy("root", "language").agg(F.count("*").alias("files"), count("broken").alias("broken"), count("failed").alias("failed"), (count("broken") / F.nullif(F.count("*") - count("failed"), F.lit(0))).alias("rate"))

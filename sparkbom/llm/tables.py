@@ -133,8 +133,20 @@ class Tables:
                 (gotos if symbol in of else shifts)[symbol] = states[target]
             self.actions.append({t: (shifts.get(t, -1), tuple(dict.fromkeys(reductions.get(t, ())))) for t in {*shifts, *reductions}})
             self.goto.append(gotos)
+        self.units: dict[tuple[int, int, str], int] = {}
         self.terminals = {s for _, right in prods for s in right if s not in of}
 
+    def renamed(self, below: int, state: int, terminal: str) -> int:
+        """The state that ``state`` becomes on top of ``below`` by all reductions of one symbol that are sure before ``terminal``."""
+        key = (below, state, terminal)
+        to = self.units.get(key)
+        if to is None:
+            to = state
+            while (act := self.actions[to].get(terminal)) and act[0] < 0 and len(act[1]) == 1 and act[1][0][1] == 1 and act[1][0][0] != "<>":
+                to = self.goto[below][act[1][0][0]]
+            self.units[key] = to
+        return to
+
     @staticmethod
     def _closure(name: str, of: dict, prods: list) -> set:
         seen, todo = {name}, [name]
@@ -154,6 +166,13 @@ class Stack:
         self.t = tables
         self.top: list[list] = [[0, []]]
 
+    def accepts(self, terminal: str) -> bool:
+        """Whether :meth:`push` would shift the terminal."""
+        top, accepted = self.top, self.accepted
+        ok = self.push((terminal,))
+        self.top, self.accepted = top, accepted
+        return ok
+
     def push(self, terminals: tuple[str, ...]) -> bool:
         """Shifts a token that may stand for any of ``terminals``; False, with the stack as before, if none is accepted."""
         actions, goto = self.t.actions, self.t.goto
@@ -174,6 +193,10 @@ class Stack:
                     self.accepted = True
                     return True
                 below = node
+                if n == 1 and len(node[1]) == 1:
+                    below = node[1][0]
+                    node = [self.t.renamed(below[0], node[0], terminal), node[1]]
+                    continue
                 while n and len(below[1]) == 1:
                     below = below[1][0]
                     n -= 1
@@ -200,31 +223,33 @@ class Stack:
         """All tops after every sequence of reductions that the table allows before ``terminal``."""
         actions, goto = self.t.actions, self.t.goto
         tops = {node[0]: [node[0], list(node[1])] for node in self.top}
-        again = True
-        while again:
-            again = False
-            for node in list(tops.values()):
+        queue, linked = list(tops.values()), False
+        while queue:
+            for node in queue:  # grows while new tops are found
                 act = actions[node[0]].get(terminal)
                 if not act:
                     continue
+                sure = act[0] < 0 and len(act[1]) == 1
                 for left, n in act[1]:
-                    ends = [node]
-                    for _ in range(n):
-                        ends = list({id(p): p for e in ends for p in e[1]}.values())
                     if left == "<>":
                         self.accepted = True
                         continue
+                    ends = [node]
+                    for _ in range(n):
+                        ends = ends[0][1] if len(ends) == 1 else list({id(p): p for e in ends for p in e[1]}.values())
                     for end in ends:
-                        state = goto[end[0]].get(left)
+                        state = self.t.renamed(end[0], node[0], terminal) if sure and n == 1 else goto[end[0]].get(left)
                         if state is None:
                             continue
                         known = tops.get(state)
                         if known is None:
-                            tops[state] = [state, [end]]
-                            again = True
+                            tops[state] = known = [state, [end]]
+                            queue.append(known)
                         elif all(p is not end for p in known[1]):
                             known[1].append(end)
-                            again = True
+                            linked = True
+            # a link added to a known top may open further ways through it
+            queue, linked = list(tops.values()) if linked else [], False
         return list(tops.values())
 
     accepted = False
