@@ -20,22 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir`` of the session, or, where that is unset (tests), a
-    fresh temporary folder that is then set as the session's checkpoint folder."""
+    fresh temporary folder that is then set as the session's checkpoint folder. On a cluster an unset folder is an error."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-shared-")
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: the plan starts anew from files that outlive any
-    executor, and the result is computed once however often it is used."""
+def cut(df: DataFrame, name: str = "step", *by: str) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder, one folder per value of ``by``, and reads it back: the plan starts anew from
+    files that outlive any executor, and the result is computed once however often it is used."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
