@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import xxhash
+
 #: Folders that hold the code of others by convention.
 FOREIGN = frozenset("vendor _vendor vendored node_modules bower_components jspm_packages third_party thirdparty third-party site-packages dist-packages pods carthage deps external extern externals".split())
 _MARK = re.compile(
@@ -12,6 +14,7 @@ _MARK = re.compile(
 )
 _ANNOTATION = re.compile(r"^\s*@(?:[\w.]+\.)?Generated\b", re.M)
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|;|<!--|--|\"\"\"|''')")
+_LINE = re.compile(r"[^\n]+")
 _TEXT = re.compile(r"'[^'\n]*'|\"[^\"\n]*\"")
 _NUMBERED = re.compile(r"\b[A-Za-z_]*[A-Za-z_]\d+\w*")
 _PIN = re.compile(r"[\"']?(?:integrity|checksum|hash|resolved)[\"']?\s*[:=]\s*\"(?:sha\d+[-:]|[0-9a-f]{40,}|https?:)", re.I)
@@ -20,7 +23,8 @@ CODE = frozenset(("py", "js", "java"))
 
 def header_says_generated(text: str) -> bool:
     """A marker in the comments before the first line of code, or a Generated annotation."""
-    for line in text.lstrip("﻿").split("\n", 40)[:40]:
+    for m in _LINE.finditer(text.lstrip("\ufeff")):
+        line = m[0]
         if not line.strip():
             continue
         if not _COMMENT.match(line):
@@ -62,6 +66,6 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def shingles(text: str) -> set[int]:
-    """Hashes of five successive tokens."""
+    """Hashes of five successive tokens, the same in every process."""
     t = _TOKEN.findall(text)
-    return {hash(tuple(t[i : i + 5])) for i in range(max(1, len(t) - 4))}
+    return {xxhash.xxh3_64_intdigest("\0".join(t[i : i + 5])) - (1 << 63) for i in range(max(1, len(t) - 4))}

@@ -21,7 +21,7 @@ def test_layout_rules():
     assert layout("py", "x = f('" + "long words " * 60 + "')\ny = 2\n") is None
 
 
-def test_origins(spark):
+def test_origins(spark, monkeypatch):
     up = "def g(a, b):\n    total = a * b + 17\n    for i in range(total):\n        print(i, a, b, 'value of the loop')\n    return total\n\n\nclass K:\n    def h(self, q):\n        return [q, q + 1, q + 2]\n" * 2
     own = "def mine(z):\n    return z.name.lower() if z else None\n" * 5
     copy = "def shared_by_two(x):\n    y = [x, x, x]\n    return {k: v for k, v in zip(y, y)}\n" * 5
@@ -30,11 +30,31 @@ def test_origins(spark):
     upstream = spark.createDataFrame([("lib", up)], "library string, content string")
     got = {r.file_id: (r.origin, r.reason) for r in origin.origins(files, upstream).collect()}
     assert got == {2: ("vendored", "folder"), 3: ("vendored", "upstream"), 5: ("vendored", "subtree"), 6: ("vendored", "subtree")}
+    monkeypatch.setattr(origin, "UPSTREAM_CHARS", 0)
+    assert {r.file_id: (r.origin, r.reason) for r in origin.origins(files, upstream).collect()} == got
     findings = spark.createDataFrame([("/r/a", "vendor/lib/y.py"), ("/r/a", "src/x.py")], "root string, file string")
     assert origin.handwritten(findings, origin.origins(files, upstream)).count() == 1
     assert origin.origins(files.limit(0), upstream.limit(0)).count() == 0
 
 
+def test_trees_of_originals_parts_of_them_and_forks(spark):
+    line = "def step_{0}(a, b):\n    return [a * {0}, b + {0}, 'value of {0}']\n"
+    up = "".join(line.format(i) for i in range(40))
+    word = "abcdefghij"
+    own = lambda i: "import os\n\n\ndef NAME(z):\n    if z is None:\n        return os.sep\n    total = [q for q in z if q != 'NAME']\n    for q in total:\n        print(q, end='NAME')\n    return {'NAME': total}\n\n\nclass Own:\n    label = 'NAME'\n".replace("NAME", "own_" + "".join(word[int(c)] for c in str(i)))
+    rows = [(1, "/r/a", "lib/widget-1.2/deep/x.py", own(1)), (2, "/r/a", "lib/widget-1.2/y.py", None), (3, "/r/widget", "widget/z.py", own(3)), (4, "/r/b", "part.py", "".join(line.format(i) for i in range(10))), (5, "/r/b", "exact.py", up)]
+    rows += [(10 + i, f"/r/fork{k}", f"src/f{i}.py", own(100 + i)) for k in (1, 2) for i in range(k * 20 - 20, k * 20)][:20]
+    rows += [(60 + i, "/r/fork2", f"src/f{i}.py", own(100 + i)) for i in range(20)]
+    rows += [(90, "/r/c", "v/one.py", own(900)), (91, "/r/c", "v/two.py", own(901)), (92, "/r/d", "w/one.py", own(900)), (93, "/r/d", "w/two.py", own(901)), (94, "/r/d", "main.py", own(902)), (95, "/r/c", "main.py", own(903))]
+    files = spark.createDataFrame(rows, "file_id long, root string, file string, content string")
+    upstream = spark.createDataFrame([("widget", "1.0", "widget/core.py", up)], "library string, version string, path string, content string")
+    got = {r.file_id: r.reason for r in origin.origins(files, upstream).collect()}
+    assert got == {1: "tree", 2: "tree", 4: "upstream", 5: "subtree", 90: "subtree", 91: "subtree", 92: "subtree", 93: "subtree"}
+    tree = origin.merkle(files)
+    same = {(r.root, r.path): r.hash for r in tree.collect()}
+    assert same["/r/c", "v"] == same["/r/d", "w"] and same["/r/c", "v"] != same["/r/a", "lib"]
+
+
 SECRETS = {
     'password = "Hx9$kLm2Qw"': ["Hx9$kLm2Qw"], 'password = "changeme"': [], 'API_TOKEN = os.environ["X_TOKEN_12345678"]': [], 'h = {"Authorization": "Bearer abcDEF123456ghiJKL"}': ["abcDEF123456ghiJKL"],
     'url = "postgres://app:S3cr.t-word@host/db"': ["S3cr.t-word"], 'url = "postgres://app:${PASSWORD}@host/db"': [], 'PASSWORD_HINT = "at-least-12-characters"': [], 'c = AES.new(b"0123456789abcdeX", AES.MODE_ECB)': ["0123456789abcdeX"],
