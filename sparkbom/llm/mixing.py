@@ -1,31 +1,37 @@
 """Training mixes in which every source has its target share of all tokens.
 
-Sizes are tokens of a public tokenizer. Weights are target shares, tempered if they must be: with exponent a, a source weighs
-``target ** a * capacity ** (1 - a)``, normalised, and a is bisected to the largest value in [0, 1] at which no source needs
-more repetitions than it may have. Token shares alone can be tempered to a wanted entropy in the same way. Weights become
-token budgets: whole passes over a source, then blocks of a random permutation up to the remaining budget.
+Sizes are tokens of a public tokenizer. Weights are exponentiated token shares: with exponent a, a source weighs
+``target ** a * usable ** (1 - a)``, normalised, where usable is its share of all tokens that the repetition limits let be used. At 1
+these are the target shares, at 0 every source is used up evenly. a is bisected
+
+* without a wanted total, to the least value at which no weight is further than ``tolerance`` from its target; the mix is then as
+  large as the limits allow at these weights, so that the shares hold and scarce sources bind it as little as they may;
+* with a wanted total, to the largest value at which no source needs more repetitions than it may have;
+* with ``match_entropy``, plain token shares are raised to the power at which their entropy is that of the targets.
+
+Weights become token budgets: whole passes over a source, then blocks of a random permutation up to the remaining budget.
 
 Source names are compared without case and outer blanks. Documents without source, text, or target are left out and counted
 in the report; targets without documents get nothing and their share is spread over the others. A null max_repeats means 1.
-No source is sorted as a whole: documents fall into blocks by a random key, prefix sums run over the blocks' totals, and only
-the block in which the budget ends is ordered.
+The plan has one row per source and stays a table; only sums over it reach the driver, so there is no bound on sources. No source
+is sorted as a whole: documents fall into blocks by a random key, prefix sums run over the blocks' totals, and only the block in
+which the budget ends is ordered.
 """
 
 from __future__ import annotations
 
 import base64
-import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkbom.session import cut, spread
 
 BLOCKS = 4096
-#: Bound of the target table, whose rows are read by the driver.
-SOURCES = 100_000
+#: Exponents that are tried in one pass of a bisection, and passes: together they settle an exponent to eight digits.
+TRIES, PASSES = 64, 4
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -46,89 +52,86 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return spread(one, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, source string, tokens long")
 
 
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
-
-
-def tempered(shares: list[float], exponent: float) -> list[float]:
-    """Shares raised to ``exponent`` and normalised; zero shares stay zero."""
-    logs = [exponent * math.log(s) if s > 0 else -math.inf for s in shares]
-    top = max(logs, default=0.0)
-    raw = [math.exp(x - top) if x > -math.inf else 0.0 for x in logs]
-    total = sum(raw) or 1.0
-    return [x / total for x in raw]
-
-
-def exponent_for_entropy(shares: list[float], wanted: float, steps: int = 60) -> float:
-    """The exponent in [0, 8] at which the tempered shares have the wanted entropy, which falls as the exponent grows."""
-    low, high = 0.0, 8.0
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if entropy(tempered(shares, mid)) > wanted else (low, mid)
-    return (low + high) / 2
-
-
-def limited_weights(targets: list[float], capacity: list[float], total: float, steps: int = 60) -> tuple[list[float], float]:
-    """(weights, exponent): target shares, drawn towards the capacities as far as ``total`` tokens require."""
-    room = sum(capacity) or 1.0
-
-    def at(a: float) -> list[float]:
-        raw = [t**a * (c / room) ** (1 - a) if t > 0 and c > 0 else 0.0 for t, c in zip(targets, capacity)]
-        s = sum(raw) or 1.0
-        return [x / s for x in raw]
-
-    fits = lambda a: all(w * total <= c * (1 + 1e-9) for w, c in zip(at(a), capacity))
-    if fits(1.0):
-        return at(1.0), 1.0
-    low, high = 0.0, 1.0
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if fits(mid) else (low, mid)
-    return at(low), low
-
-
-def plan(sizes: pd.DataFrame, targets: pd.DataFrame, total: float | None = None) -> pd.DataFrame:
-    """One row per target source: tokens, weight, budget, passes (whole ones) and rest (tokens of one more, partial pass).
-
-    Without ``total`` the mix is as large as the repetition limits allow at exactly the target shares."""
-    t = targets.assign(source=targets["source"].str.strip().str.lower()).dropna(subset=["source"])
-    t = t.groupby("source", as_index=False).agg(target_share=("target_share", "sum"), max_repeats=("max_repeats", "min"))
-    t = t.merge(sizes, on="source", how="left").fillna({"max_repeats": 1, "target_share": 0.0, "tokens": 0, "documents": 0})
-    capacity = (t["tokens"] * t["max_repeats"]).tolist()
-    share = [s if c > 0 else 0.0 for s, c in zip(t["target_share"], capacity)]
-    s = sum(share) or 1.0
-    share = [x / s for x in share]
-    if total is None:
-        total = min((c / x for c, x in zip(capacity, share) if x > 0), default=0.0)
-    total = min(total, sum(c for c, x in zip(capacity, share) if x > 0))
-    weights, exponent = limited_weights(share, capacity, total)
-    t["weight"], t["exponent"] = weights, exponent
-    t["budget"] = [min(w * total, c) for w, c in zip(weights, capacity)]
-    t["passes"] = [int(b // n) if n else 0 for b, n in zip(t["budget"], t["tokens"])]
-    t["rest"] = [b - p * n for b, p, n in zip(t["budget"], t["passes"], t["tokens"])]
-    return t
-
-
-def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, plan): ``(doc_id, source, tokens, uses, block, key)`` of every document that is used, in the order (block,
-    key) of each pass, and the plan per source."""
-    spark = docs.sparkSession
+def tempered(a: Column | float, share: str = "target", base: str = "usable") -> Column:
+    """``share ** a * base ** (1 - a)``, not yet normalised; null where either is 0."""
+    known = (F.col(share) > 0) & (F.col(base) > 0)
+    return F.when(known, F.exp(F.log(share) * a + F.log(base) * (1 - a)))
+
+
+def _bisected(low: float, high: float, table: DataFrame, raw: Column, measure: Column, most: float) -> float:
+    """The least exponent ``a`` of [low, high], or close above it, from which on ``measure`` is at most ``most``; high if it never is.
+    raw is a source's weight before it is divided by the sum ``z`` over the sources. Each pass cuts the range into TRIES parts."""
+    for _ in range(PASSES):
+        points = [low + (high - low) * k / TRIES for k in range(TRIES + 1)]
+        tried = table.withColumn("a", F.explode(F.array(*(F.lit(float(x)) for x in points)))).withColumn("raw", raw)
+        z = tried.groupBy("a").agg(F.sum("raw").alias("z"))
+        found = {r[0]: r[1] for r in tried.join(F.broadcast(z), "a").groupBy("a").agg(measure.alias("m")).collect()}  # TRIES + 1 rows
+        first = next((k for k, x in enumerate(points) if (found.get(x) or 0.0) <= most), TRIES)
+        if first == 0:
+            return points[0]
+        low, high = points[first - 1], points[first]
+    return high
+
+
+def _sums(table: DataFrame, columns: list[Column]) -> list[float]:
+    """Sums over the sources, 0 where there are none."""
+    return [x or 0.0 for x in table.agg(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()]
+
+
+def exponent_within(table: DataFrame, tolerance: float) -> float:
+    """The least exponent at which no weight is further than ``tolerance`` from its target."""
+    return _bisected(0.0, 1.0, table, tempered(F.col("a")), F.max(F.abs(F.col("raw") / F.col("z") - F.col("target"))), tolerance)
+
+
+def exponent_for_total(table: DataFrame, total: float) -> float:
+    """The largest exponent in [0, 1] at which no source needs more than its usable tokens for ``total`` tokens."""
+    # looked for from 1 downwards
+    return 1 - _bisected(0.0, 1.0, table, tempered(1 - F.col("a")), F.max(F.col("raw") / F.col("z") * total / F.col("capacity")), 1 + 1e-9)
+
+
+def exponent_for_entropy(table: DataFrame, wanted: float) -> float:
+    """The exponent in [0, 8] at which token shares raised to it have the wanted entropy, which falls as the exponent grows."""
+    p = F.col("raw") / F.col("z")
+    return _bisected(0.0, 8.0, table.where("natural > 0"), F.exp(F.log("natural") * F.col("a")), -F.sum(F.when(p > 0, p * F.log(p))), wanted)
+
+
+def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None, tolerance: float = 0.001, match_entropy: bool = False) -> DataFrame:
+    """One row per target source: tokens, weight, budget, passes (whole ones) and rest (tokens of one more, partial pass)."""
+    name = F.lower(F.trim("source"))
+    t = targets.where("source is not null").groupBy(name.alias("source")).agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).cast("int").alias("max_repeats"))
+    t = t.join(sizes, "source", "left").fillna(0, ["tokens", "documents"])
+    t = cut(t.withColumn("capacity", (F.col("tokens") * F.greatest("max_repeats", F.lit(0))).cast("double")).withColumn("wanted", F.when(F.col("capacity") > 0, F.col("target_share")).otherwise(0.0)), "sources")
+    want, room, known = _sums(t, [F.sum("wanted"), F.sum(F.when(F.col("wanted") > 0, F.col("capacity"))), F.sum(F.when(F.col("wanted") > 0, F.col("tokens"))).cast("double")])
+    part = lambda c, whole: F.when(F.col("wanted") > 0, F.col(c) / (whole or 1.0)).otherwise(0.0)
+    t = cut(t.select("source", "target_share", "max_repeats", "tokens", "documents", "capacity", part("wanted", want).alias("target"), part("capacity", room).alias("usable"), part("tokens", known).alias("natural")), "sources")
+    if match_entropy:
+        exponent = exponent_for_entropy(t, -_sums(t, [F.sum(F.when(F.col("target") > 0, F.col("target") * F.log("target")))])[0])
+        raw = F.when(F.col("natural") > 0, F.exp(exponent * F.log("natural")))
+    else:
+        exponent = exponent_within(t, tolerance) if total is None else exponent_for_total(t, min(total, room))
+        raw = tempered(exponent)
+    weight = F.coalesce(raw / (_sums(t, [F.sum(raw)])[0] or 1.0), F.lit(0.0))
+    most = t.agg(F.min(F.when(weight > 0, F.col("capacity") / weight))).first()[0] or 0.0
+    size = most if total is None else min(total, room)
+    t = t.withColumn("weight", weight).withColumn("exponent", F.lit(exponent)).withColumn("budget", F.least(F.col("weight") * size, F.col("capacity")))
+    # a budget that is a whole number of passes but for rounding is that number
+    t = t.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-9)).otherwise(0).cast("int"))
+    t = t.withColumn("rest", F.greatest(F.col("budget") - F.col("passes") * F.col("tokens"), F.lit(0.0)))
+    return cut(t.select("source", "target_share", "max_repeats", "tokens", "documents", "weight", "exponent", "budget", "passes", "rest"), "plan")
+
+
+def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, vocabulary: str | None = None, tolerance: float = 0.001, match_entropy: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, plan, sizes): ``(doc_id, source, tokens, uses, block, key)`` of every document that is used, in the order (block,
+    key) of each pass; the plan per target source; and documents and tokens of every source there is."""
     counts = cut(token_counts(docs, vocabulary), "tokens")
-    wanted = targets.limit(SOURCES + 1).toPandas()
-    if len(wanted) > SOURCES:
-        raise ValueError("too many sources for one plan")
-    names = wanted["source"].str.strip().str.lower().dropna().unique().tolist()
     # a source may hold most documents: partial sums come first
-    sizes = counts.where(F.col("source").isin(names)).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")).toPandas()
-    steps = plan(sizes, wanted, total)
-    schema = "source string, target_share double, max_repeats int, tokens long, documents long, weight double, exponent double, budget double, passes int, rest double"
-    rows = [(str(r.source), float(r.target_share), int(r.max_repeats), int(r.tokens), int(r.documents), float(r.weight), float(r.exponent), float(r.budget), int(r.passes), float(r.rest)) for r in steps.itertuples()]
-    table = spark.createDataFrame(rows, schema)
+    sizes = cut(counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")), "sizes")
+    table = plan(sizes.where("source is not null"), targets, total, tolerance, match_entropy)
     key = F.xxhash64("doc_id", F.lit(seed))
-    keyed = counts.join(F.broadcast(table.select("source", "passes", "rest")), "source").withColumn("key", key).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(BLOCKS)))
+    keyed = counts.join(table.select("source", "passes", "rest").where("passes > 0 or rest > 0"), "source").withColumn("key", key).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(BLOCKS)))
     block = keyed.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
     upto = block.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    keyed = keyed.join(F.broadcast(upto.select("source", "block", "size", "before")), ["source", "block"])  # at most SOURCES x BLOCKS rows of sums
+    keyed = keyed.join(upto.select("source", "block", "size", "before"), ["source", "block"])
     inside = (F.col("before") + F.col("size")) <= F.col("rest")
     whole = keyed.where(inside | (F.col("before") >= F.col("rest"))).withColumn("more", inside.cast("int"))
     order = Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -136,12 +139,18 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     edge = edge.withColumn("more", (F.col("sum") <= F.col("rest")).cast("int")).drop("sum")
     uses = F.col("passes") + F.col("more")
     out = whole.unionByName(edge).select("doc_id", "source", "tokens", uses.alias("uses"), "block", "key")
-    return out.where("uses > 0"), table
+    return out.where("uses > 0"), table, sizes
 
 
-def report(used: DataFrame, table: DataFrame) -> DataFrame:
-    """Per target source: wanted and reached share, and the largest number of uses of a document."""
+def report(used: DataFrame, table: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per source, with and without a target: wanted and reached share, the largest number of uses of a document, and the documents
+    that are left out. The row with a null source holds the documents that name none."""
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"), F.count("*").alias("used_documents"))
     all_ = got.agg(F.sum("used_tokens").alias("all_tokens"))
-    out = table.join(got, "source", "left").join(F.broadcast(all_))
-    return out.select("source", "target_share", "weight", "exponent", "max_repeats", "documents", "tokens", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("used_documents", "used_tokens", "most_uses")), (F.coalesce("used_tokens", F.lit(0)) / F.col("all_tokens")).alias("reached_share"))
+    rest = sizes.join(table.select("source"), "source", "left_anti").select("source", "tokens", "documents")
+    out = table.unionByName(rest, allowMissingColumns=True).join(got, "source", "left").join(F.broadcast(all_))  # one row
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(
+        "source", "target_share", "weight", "exponent", "max_repeats", "documents", "tokens", *(zero(c) for c in ("used_documents", "used_tokens", "most_uses")),
+        (F.col("documents") - F.coalesce("used_documents", F.lit(0))).alias("left_out"), (F.coalesce("used_tokens", F.lit(0)) / F.col("all_tokens")).alias("reached_share"),
+    )

@@ -14,15 +14,24 @@ def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     return M.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
 
 
+def _report(spark: SparkSession, sf: str, **how: object) -> DataFrame:
+    used, plan, sizes = M.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), **how)
+    return M.report(cut(used, "mix"), plan, sizes)
+
+
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    used, plan = M.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
-    return M.report(cut(used, "mix"), plan)
+    """Wanted and reached shares of :func:`p7_mix`."""
+    return _report(spark, sf)
 
 
 def p7_double(spark: SparkSession, sf: str) -> DataFrame:
-    """A mix of all tokens there are: limits bind, so the exponent is bisected."""
-    used, plan = M.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), total=float("1e18"))
-    return M.report(cut(used, "mix"), plan)
+    """A mix of all tokens there are: limits bind, so the exponent is bisected to them."""
+    return _report(spark, sf, total=1e18)
+
+
+def p7_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """A mix that is as even as the targets are, whichever sources they name: token shares raised to one power."""
+    return _report(spark, sf, match_entropy=True)
 
 
 def p7_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +41,7 @@ def p7_sources(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count_distinct("doc_id").alias("documents")).join(F.broadcast(targets), "source", "full")
 
 
-QUERIES = {f.__name__: f for f in (p7_mix, p7_shares, p7_double, p7_sources)}
+QUERIES = {f.__name__: f for f in (p7_mix, p7_shares, p7_double, p7_entropy, p7_sources)}
 SQL = {
     "p7_sources": """SELECT coalesce(d.source, t.source) AS source, d.documents, t.target_share FROM
 (SELECT lower(trim(source)) AS source, count(DISTINCT doc_id) AS documents FROM documents WHERE text IS NOT NULL GROUP BY 1) d

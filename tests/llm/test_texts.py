@@ -112,24 +112,37 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(table, tests.limit(0)).count() == 0 and leakage.leaks(table.limit(0), tests).count() == 0
 
 
-def test_mixing_weights():
-    shares = [0.7, 0.2, 0.1]
-    a = mixing.exponent_for_entropy(shares, 1.0)
-    assert abs(mixing.entropy(mixing.tempered(shares, a)) - 1.0) < 1e-6
-    weights, a = mixing.limited_weights([0.5, 0.5], [10.0, 1000.0], 500.0)
-    assert 0 < a < 1 and weights[0] * 500 <= 10.001
-    assert mixing.limited_weights([0.5, 0.5], [1000.0, 1000.0], 500.0)[1] == 1.0
+def test_mixing_weights(spark):
+    import math
+
+    def shares(target, usable, capacity=None):
+        rows = [(float(a), float(b), float(c), float(b)) for a, b, c in zip(target, usable, capacity or usable)]
+        return spark.createDataFrame(rows, "target double, usable double, capacity double, natural double")
+
+    a = mixing.exponent_for_entropy(shares([0, 0, 0], [0.7, 0.2, 0.1]), 1.0)
+    raw = [x**a for x in (0.7, 0.2, 0.1)]
+    assert abs(-sum(x / sum(raw) * math.log(x / sum(raw)) for x in raw) - 1.0) < 1e-6
+    table = shares([0.5, 0.5], [10 / 1010, 1000 / 1010], [10.0, 1000.0])
+    a = mixing.exponent_for_total(table, 500.0)
+    raw = [0.5**a * (c / 1010) ** (1 - a) for c in (10, 1000)]
+    assert 0 < a < 1 and 9.99 < raw[0] / sum(raw) * 500 <= 10.001
+    assert mixing.exponent_for_total(shares([0.5, 0.5], [0.5, 0.5], [1000.0, 1000.0]), 500.0) == 1.0
+    a = mixing.exponent_within(table, 0.01)
+    raw = [0.5**a * (c / 1010) ** (1 - a) for c in (10, 1000)]
+    assert 0 < a < 1 and abs(abs(raw[0] / sum(raw) - 0.5) - 0.01) < 1e-6
 
 
 def test_mix_reaches_shares_and_respects_limits(spark):
     docs = [(i, "some words of text " * (1 + i % 5), "en", ["A ", "a", "b", None][i % 4], "x") for i in range(400)] + [(990, None, "en", "a", "x"), (991, "", "en", "b", "x")]
     targets = spark.createDataFrame([("a", 0.3, 1), ("B", 0.6, 3), ("missing", 0.1, 2)], "source string, target_share double, max_repeats int")
-    used, plan = mixing.mix(spark.createDataFrame(docs, DOC), targets)
+    used, plan, sizes = mixing.mix(spark.createDataFrame(docs, DOC), targets)
     rows = used.toPandas()
     got = (rows["tokens"] * rows["uses"]).groupby(rows["source"]).sum()
     assert abs(got["b"] / got.sum() - 0.6 / 0.9) < 0.02 and rows["doc_id"].is_unique
     assert rows[rows["source"] == "b"]["uses"].max() <= 3 and rows[rows["source"] == "a"]["uses"].max() <= 1
-    report = mixing.report(used, plan).toPandas().set_index("source")
+    report = mixing.report(used, plan, sizes).toPandas()
+    assert report[report["source"].isna()]["left_out"].tolist() == [100] and report["documents"].sum() == 401
+    report = report.set_index("source")
     assert report.loc["missing", "used_tokens"] == 0 and abs(report["reached_share"].sum() - 1) < 1e-9
     assert mixing.mix(spark.createDataFrame([], DOC), targets)[0].count() == 0
     assert isinstance(plan.toPandas(), pd.DataFrame)
