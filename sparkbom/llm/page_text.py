@@ -1,44 +1,38 @@
-"""How much of a page is lists or repeated key phrases rather than sentences (small per-page helpers)."""
+"""How much of a page is lists or repeated key phrases rather than sentences (a small per-page helper)."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 
-#: Common function words of English, German and Turkish.
-FUNCTION_WORDS = frozenset(
-    """a about after all also an and any are as at be because been before but by can could did do does each every for from had has have he her his how i if in into is it its
-    may more most must my no nor not of on once one or other our over she should since so some such than that the their them then there these they this those to two under
-    until up was we were what when where which while who whom why will with would yet you your
-    aber alle als am an auf aus bei bevor bis das dass dem den der des die diese dieser doch dort durch ein eine einem einen einer es für hat haben ich ihr im in ist jede jeder kann
-    kein keine mit nach neben nicht noch nur oder ohne sein sich sie sind so über um und uns unter vom von vor warum war was weil wenn werden wie wir wird wurde zu zum zur
-    ama ancak bir birlikte bu bunun çok da daha de değil diye en fakat gibi göre hâlâ hem her hiç için ile ise işte kadar kez ki kim mi mı nasıl ne neden o olan olarak oldu onu
-    onun sonra şu tüm üzere ve veya ya yani yeniden""".split()
-)
 _LINK = re.compile(r"\w+://|<a\s|\bwww\.|\]\(", re.I)
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _SEGMENT = re.compile(r"\n+|(?<=[.!?])\s+|\s+[|/»•·›>]\s+|\s*•\s*|(?=<a\s)")
 _WORD = re.compile(r"\w+")
 
 
-def list_share(text: str) -> float:
+def list_share(text: str, heads: list[frozenset[str]]) -> float:
     """Share of the words outside code blocks that stand in list entries (links, menus, tags, products, bare key phrases)
-    or in sentences that repeat the page's key phrase."""
+    or in sentences that repeat the page's key phrase. heads: the most usual words of each language; a segment's words are set
+    against the language they fit best."""
     text = _CODE.sub("\n", text)
     words = _WORD.findall(text.lower())
     pairs = Counter(zip(words, words[1:]))
-    phrase = max(((n, p) for p, n in pairs.items() if p[0] not in FUNCTION_WORDS and p[1] not in FUNCTION_WORDS), default=(0, ("", "")))
+    plain = lambda p: any(p[0] in h and p[1] in h for h in heads)
+    most, phrase = max(((n, p) for p, n in pairs.items() if n > 3 and not plain(p)), default=(0, ("", "")))
+    # a key phrase of usual words is not usual where it fills the page
+    stuffed = set(phrase) if most * 5 > len(words) else set()
     spam = total = 0
     for segment in _SEGMENT.split(text):
         own = _WORD.findall(segment.lower())
         if not own:
             continue
         total += len(own)
-        usual = sum(w in FUNCTION_WORDS for w in own) / len(own)
-        named = sum(p == phrase[1] for p in zip(own, own[1:]))
+        usual = max((sum(w in h and w not in stuffed for w in own) for h in heads), default=0) / len(own)
+        named = sum(p == phrase for p in zip(own, own[1:]))
         if _LINK.search(segment):
             spam += len(own)
-        elif phrase[0] >= 4 and (named >= 2 and named * 12 >= len(own) or named and phrase[0] * 2 > 0.25 * len(words)):
+        elif most and (named >= 2 and named * 12 >= len(own) or named and most * 8 > len(words)):
             spam += len(own)
         elif segment.rstrip(" \"')*_")[-1:] in ".!?:" and len(own) >= 4:
             spam += len(own) * (usual < 0.04 and len(own) > 30)

@@ -159,7 +159,8 @@ def test_spam(spark):
     table = spark.createDataFrame(rows, DOC)
     assert {r.doc_id for r in spam_pages.spam_pages(table).collect()} == set(spam)
     assert spam_pages.spam_pages(table.limit(0)).count() == 0
-    assert list_share("") == 0.0
+    assert list_share("", []) == 0.0
+    assert list_share("The reader is here. It is not the vault.", [frozenset(["the", "is", "it", "not"])]) == 0.0
 
 
 WHOLE = {
@@ -218,6 +219,23 @@ def test_leaks_with_an_edit_near_an_end_and_short_items(spark):
     assert set(found) == want and len(found) == len(want)
 
 
+def test_more_languages_than_one_pass_compares(spark, monkeypatch):
+    rng = random.Random(2)
+    rows, n = [], 0
+    for lang in "abcde":
+        words = [f"{lang}{i}" for i in range(300)]
+        for _ in range(30):
+            rows.append((n, " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(300)], k=60)), lang, "s", "x"))
+            n += 1
+    rows.append((n, "a1 a2 b3", "rare", "s", "x"))
+    table = spark.createDataFrame(rows, DOC)
+    columns = ["doc_id", "model", "words", "head", "size"]
+    one = {tuple(r) for r in spam_pages.curves(table).select(columns).collect()}
+    assert {r[1] for r in one} == set("abcde") and len(one) == n + 1
+    monkeypatch.setattr(spam_pages, "BATCH", 2)
+    assert {tuple(r) for r in spam_pages.curves(table).select(columns).collect()} == one
+
+
 def test_copied_and_lone_spam(spark):
     prose = "The {0} reads a value from the store and it is checked by the team before we send it. If the {1} is missing, the job waits for an hour and then stops with an error. We keep the {0} for the old clients that still ask for it."
     names = ["reader", "broker", "ledger", "packet", "meter", "vault", "relay", "badge"]
