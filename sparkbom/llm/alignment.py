@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 _TAG = re.compile(r"<[^<>\n]{0,200}>|&(?:[a-z]+|#\d+);")
 _WORD = re.compile(r"\w+")
 
@@ -82,3 +84,40 @@ def differences(a: list[int], b: list[int]) -> int:
         prev = row
         least = min(least, row[-1])
     return least
+
+
+def least_runs(least: int, error: float = 3.0) -> tuple[int, int]:
+    """(triples, diagonals): of any alignment that spans ``least`` words at ``error`` per difference, a part spans just that many
+    words. With k differences it has max(least - k, error * k + 1) agreements in k + 1 runs, so at least so many triples of agreeing
+    words, on diagonals no further than k apart."""
+    ways = [k for k in range(least) if error * k + 1 <= least]
+    return int(min(max(least - k, error * k + 1) - 2 * (k + 1) for k in ways)), ways[-1]
+
+
+def may_overlap(a: np.ndarray, b: np.ndarray, least: int, error: float = 3.0) -> bool:
+    """Whether two word lists hold enough agreeing triples for :func:`best_overlap` or :func:`window` to span ``least`` words."""
+    triples, apart = least_runs(least, error)
+    if triples < 1:
+        return True
+    if len(a) < 3 or len(b) < 3:
+        return False
+    same = a[:, None] == b[None, :]
+    i, j = np.nonzero(same[:-2, :-2] & same[1:-1, 1:-1] & same[2:, 2:])
+    if len(i) < triples:
+        return False
+    at = np.sort(i - j)
+    return bool((at[triples - 1 :] - at[: len(at) - triples + 1] <= apart).any())
+
+
+def common(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, by bits: one addition per word of ``a``."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    free = full
+    for x in a:
+        if m := where.get(x):
+            hit = free & m
+            free = (free + hit | free - hit) & full
+    return len(b) - free.bit_count()

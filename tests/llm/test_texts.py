@@ -86,6 +86,57 @@ def test_alignment():
     assert best_overlap([], [1]) == (0, 0)
 
 
+def test_filters_of_alignments_lose_nothing():
+    import numpy as np
+
+    from sparkbom.llm.alignment import common, may_overlap, window
+
+    rng = random.Random(9)
+    held = 0
+    for _ in range(3000):
+        b = [rng.randrange(40) for _ in range(rng.choice([20, 30, 60]))]
+        a = list(b)
+        for _ in range(rng.choice([0, 2, 4, 8, 16])):
+            at = rng.randrange(len(a))
+            a[at : at + rng.choice([0, 1, 1])] = [rng.randrange(40)] * rng.choice([0, 1])
+        a = [rng.randrange(40) for _ in range(5)] + a
+        spans = max(best_overlap(a, b)[0], window(a, b, 20, 2)[0]) >= 20
+        held += spans
+        assert may_overlap(np.array(a), np.array(b), 20) or not spans
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert common(a, b) == table[-1][-1]
+    assert held > 500
+    vectors = np.random.default_rng(1).standard_normal((500, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    probes = vectors[:50] + 0.3 * np.random.default_rng(2).standard_normal((50, 8))
+    probes /= np.linalg.norm(probes, axis=1, keepdims=True)
+    close = {tuple(x) for x in np.argwhere(probes @ vectors.T >= 0.8)}
+    open_ = {(i, int(r)) for c, limit, rows in leakage.clusters(vectors, 0.8) for i in range(50) if probes[i] @ c >= limit for r in rows}
+    assert close <= open_ and len(open_) < 50 * 500
+
+
+def test_blocks_of_items_and_paraphrases(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, "t", f"Answer briefly. {' '.join(rng.choices(vocabulary, k=60))}", "two words") for i in range(8)]
+    docs = []
+    for d in range(80):
+        body = items[d % 8][2].split()[2:]
+        part = body[10:40] if d % 2 else [w for k, w in enumerate(body) if k % 4 != 3]  # every fourth word is missing
+        docs.append((d, " ".join(rng.choices(vocabulary, k=30) + part + (["Two", "words."] if d % 3 == 0 else [])), "en", "s", "x"))
+    table, tests = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, task string, text string, answer string")
+    one = {tuple(r) for r in leakage.leaks(table, tests, cosine=0.7).collect()}
+    assert {(r[0], r[1]) for r in one if r[2] == "passage"} == {(d, d % 8) for d in range(1, 80, 2)}
+    assert {r[0] for r in one if r[2] == "paraphrase"} and all(r[0] % 6 == 0 and r[5] for r in one if r[2] == "paraphrase")
+    assert all(r[5] == (r[0] % 3 == 0) for r in one)
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 800)
+    again = {tuple(r) for r in leakage.leaks(table, tests, cosine=0.7).collect()}
+    assert {(r[0], r[1]) for r in again if r[2] == "passage"} == {(r[0], r[1]) for r in one if r[2] == "passage"}
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(300)]
