@@ -86,27 +86,34 @@ def differences(a: list[int], b: list[int]) -> int:
     return least
 
 
-def least_runs(least: int, error: float = 3.0) -> tuple[int, int]:
-    """(triples, diagonals): of any alignment that spans ``least`` words at ``error`` per difference, a part spans just that many
-    words. With k differences it has max(least - k, error * k + 1) agreements in k + 1 runs, so at least so many triples of agreeing
-    words, on diagonals no further than k apart."""
+def least_pairs(least: int, error: float = 3.0) -> tuple[int, int]:
+    """(pairs, diagonals): of any alignment that spans ``least`` words at ``error`` per difference, a part spans just that many
+    words. With k differences it has max(least - k, error * k + 1) agreements in k + 1 runs, so at least so many pairs of agreeing
+    neighbours, on diagonals no further than k apart."""
     ways = [k for k in range(least) if error * k + 1 <= least]
-    return int(min(max(least - k, error * k + 1) - 2 * (k + 1) for k in ways)), ways[-1]
+    return int(min(max(least - k, error * k + 1) - (k + 1) for k in ways)), ways[-1]
 
 
 def may_overlap(a: np.ndarray, b: np.ndarray, least: int, error: float = 3.0) -> bool:
-    """Whether two word lists hold enough agreeing triples for :func:`best_overlap` or :func:`window` to span ``least`` words."""
-    triples, apart = least_runs(least, error)
-    if triples < 1:
+    """Whether some ``least`` words of b hold enough agreeing pairs, on near diagonals, for :func:`best_overlap` or :func:`window` to
+    span so many words."""
+    pairs, apart = least_pairs(least, error)
+    if pairs < 1:
         return True
-    if len(a) < 3 or len(b) < 3:
+    if len(a) < 2 or len(b) < 2:
         return False
     same = a[:, None] == b[None, :]
-    i, j = np.nonzero(same[:-2, :-2] & same[1:-1, 1:-1] & same[2:, 2:])
-    if len(i) < triples:
+    i, j = np.nonzero(same[:-1, :-1] & same[1:, 1:])
+    if len(i) < pairs:
         return False
-    at = np.sort(i - j)
-    return bool((at[triples - 1 :] - at[: len(at) - triples + 1] <= apart).any())
+    # counts per diagonal and place in b, summed over boxes of apart + 1 diagonals and least places
+    diagonal = i - j + len(b)
+    diagonal, width, height = diagonal - diagonal.min(), len(b) + least, int(diagonal.max() - diagonal.min()) + apart + 2
+    grid = np.zeros((height, width), dtype=np.int32)
+    grid[diagonal + apart + 1, j + least] = 1
+    total = grid.cumsum(0).cumsum(1)
+    rows = total[apart + 1 :] - total[: height - apart - 1]
+    return bool((rows[:, least:] - rows[:, : width - least]).max() >= pairs)
 
 
 def common(a: list[int], b: list[int]) -> int:
