@@ -41,13 +41,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", "lang", words.alias("word")).groupBy("doc_id", "lang", "word").agg(F.count("*").alias("n"))
 
 
-def language_models(counts: DataFrame) -> DataFrame:
+def language_models(counts: DataFrame, pages: DataFrame) -> DataFrame:
     """``(model, word, logp, head)`` of the most frequent words of each language, and under the null word that of any other word.
     head: whether the word is among the HEAD that stand in most texts."""
     by = counts.where("lang is not null").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
     by = cut(by, "words")
-    texts = counts.where("lang is not null").select("lang", "doc_id").distinct().groupBy("lang").agg(F.count("*").alias("pages")).where(F.col("pages") >= PEERS)
-    size = by.groupBy("lang").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).join(texts, "lang")
+    texts = pages.groupBy(F.lower("lang").alias("lang")).agg(F.count("*").alias("pages")).where(F.col("pages") >= PEERS)
+    size = cut(by.groupBy("lang").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).join(texts, "lang"), "languages")
 
     def top(order: str, keep: int) -> DataFrame:
         # two steps, so that no task ranks all words of a language
@@ -55,9 +55,9 @@ def language_models(counts: DataFrame) -> DataFrame:
         first = by.withColumn("r", F.row_number().over(slot)).where(F.col("r") <= keep)
         return first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(order), "word"))).where(F.col("r") <= keep).drop("r")
 
-    kept = top("n", KEPT)
+    kept = cut(top("n", KEPT), "kept")
     often = top("texts", HEAD).join(size.select("lang", "kinds"), "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("texts"), "word")))
-    often = often.where(F.col("r") * PART <= F.col("kinds")).drop("r", "kinds")
+    often = cut(often.where(F.col("r") * PART <= F.col("kinds")).drop("r", "kinds"), "heads")
     head = often.select("lang", "word", F.lit(True).alias("head"))
     # a word may stand at the head without being among the most frequent
     known = kept.unionByName(often).distinct().join(head, ["lang", "word"], "left").join(size, "lang")
@@ -70,7 +70,7 @@ def language_models(counts: DataFrame) -> DataFrame:
 def models_of(docs: DataFrame) -> DataFrame:
     """The language models of ``docs``, in which copies count once."""
     once = docs.where("text is not null and doc_id is not null").withColumn("copy", F.xxhash64("text")).dropDuplicates(["lang", "copy"])
-    return cut(language_models(word_counts(once)), "models")
+    return cut(language_models(word_counts(once), once), "models")
 
 
 def curves(docs: DataFrame, model: DataFrame | None = None) -> DataFrame:
@@ -82,6 +82,8 @@ def curves(docs: DataFrame, model: DataFrame | None = None) -> DataFrame:
     names = sorted(base)
     # one map per word: word -> {model: (logp, head)}
     per_word = model.where("word is not null").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct("logp", "head")))).alias("known"))
+    if len(names) <= BATCH:
+        per_word = F.broadcast(per_word)  # at most BATCH x (KEPT + HEAD) words
     w = Window.partitionBy("doc_id")
     ranked = counts.join(per_word, "word", "left").withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "word")))
     if len(names) > BATCH:
