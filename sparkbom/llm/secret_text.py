@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 
@@ -19,7 +20,9 @@ _QUOTED = r"""(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"""
 #: name = "value", name: "value", "name": "value", x["name"] = "value", name="value" as argument or default
 _ASSIGN = re.compile(rf"""(?<![\w.-])(?P<n>[\w.-]++)["'`]?\]?\s*+(?P<type>:\s*[A-Za-z][\w\[\], .]*)?\s*(?:=>|:=|=(?!=)|:)\s*(?P<call>[A-Za-z_][\w.]*\(\s*)?(?:[bBrRuU]{{0,2}}){_QUOTED}""")
 _LITERAL = re.compile(rf"[bBrRuUfF]{{0,2}}{_QUOTED}")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----)[\s\S]){20,20000}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Any literal, in one of three groups.
+_ANY = re.compile(r""""([^\"\\\n]*(?:\\.[^\"\\\n]*)*)\"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'|`([^`\\\n]*(?:\\.[^`\\\n]*)*)`""")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----)[\s\S]){20,}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _SCHEME = re.compile(r"(?:bearer|basic|token|apikey|digest)\s+(?P<s>[^\s\"'`,;]+)\s*$", re.I)
 _SENT = re.compile(r"(?:^|[\"'`:,\s])(?:bearer|basic)\s+(?P<s>[A-Za-z0-9._~+/=:@!-]{8,})", re.I)
 _URL_USER = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/\"'`:@]*:(?P<s>[^\s/\"'`@]+)@[\w.-]")
@@ -31,7 +34,14 @@ _CRYPTO = re.compile(
 #: user and password side by side: in a remark, or as the last two arguments of a connection
 _LOGIN = re.compile(r"(?:#|//|/?\*|--)[^\n]*\b(?:login|credentials?|account|password)\b[^\n]*:\s*[\w.@-]+\s*/\s*(?P<s>\S+)", re.I)
 _CONNECT = re.compile(r"\b(?:getConnection|connect|login|createConnection)\(\s*\"[^\"\n]*\"\s*,\s*\"[^\"\n]*\"\s*,\s*\"(?P<s>[^\"\n]*)\"", re.I)
-_REMARK = re.compile(rf"(?://|#|/\*)[^\n\"']*\b(?:{_WORD}|key)\b[^\n]*$", re.I)
+#: name, then value, as two arguments; between tags; and after a colon or an equals sign in a remark
+_PAIR = re.compile(rf"\(\s*[\"'](?P<n>[\w.-]+)[\"']\s*,\s*[bBrRuU]{{0,2}}{_QUOTED}")
+_BETWEEN = re.compile(r"<(?P<n>[A-Za-z][\w.-]*)>(?P<s>[^<>\s]+)</(?P=n)>")
+_NOTED = re.compile(r"^[ \t]*(?:#|//|\*)[^\S\n]*(?P<n>[\w.-]+)[^\S\n]*[:=][^\S\n]*(?P<s>[^\s\"'`,;(){}\[\]<>]+)[^\S\n]*$", re.M)
+#: Tokens that their issuers give a form of its own.
+_ISSUED = re.compile(r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{50,}|(?:AKIA|ASIA)[A-Z0-9]{16}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})(?![A-Za-z0-9_-])")
+_MARKER = re.compile(r"//|#|/\*")
+_SPEAKS = re.compile(rf"\b(?:{_WORD}|key)\b", re.I)
 _CLEARED = re.compile(r"placeholder|example|dummy|fake|sample value|digest|checksum|public|not a (?:secret|password)|iv\b|nonce|salt", re.I)
 _IDENT = re.compile(r"[A-Za-z_]+(?:[._-][A-Za-z_]+)*$")
 _HOLDER = re.compile(r"\$\{|\{\{|\{[\w.]*\}|%\(|%s(?![a-z])|<[^<>]*>|\$\(|^\$[A-Z_]|^(.)\1+$|changeme|change[-_ ]me|your[-_ ]|example|placeholder|redacted|dummy|xxxx|\*\*\*|\.\.\.|set-?me|todo|fixme|insert|replace|n/a|^env:|^vault:|process\.env|os\.environ", re.I)
@@ -48,7 +58,8 @@ _FILE = re.compile(r"\.[A-Za-z]\w{0,4}$")
 _NAMING = frozenset("pass pwd secret token key auth cred bearer login".split())
 _CIPHERS = frozenset("login auth aes des.new des3 fernet chacha blowfish arc2 arc4 salsa hmac jwt cipher algorithms. secret".split())
 _CONTEXT = ahocorasick.Automaton()
-for _w in {*_NAMING, *_CIPHERS, *"basic account connect :// sig=".split()}:
+_ISSUERS = frozenset("ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ akia asia sk_live_ sk_test_ xox aiza glpat- npm_ eyj".split())
+for _w in {*_NAMING, *_CIPHERS, *_ISSUERS, *"basic account connect :// sig=".split()}:
     _CONTEXT.add_word(_w, _w)
 _CONTEXT.make_automaton()
 
@@ -60,7 +71,7 @@ def entropy(text: str) -> float:
 
 def usable(value: str) -> bool:
     """Whether a literal can be a credential: no placeholder, reference, field name, sentence or path."""
-    if not 8 <= len(value) <= 4096 or _HOLDER.search(value) or re.search(r"\s", value) or value.startswith(("/", "./", "../", "http://", "https://")):
+    if len(value) < 8 or _HOLDER.search(value) or re.search(r"\s", value) or value.startswith(("/", "./", "../", "http://", "https://")):
         return False
     classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", r"\d", r"[^\w]"))
     if len(set(value)) < 5:
@@ -75,7 +86,7 @@ def named_usable(name: str, value: str) -> bool:
     joiners between them, and random values that begin with a slash. Under four characters nothing tells a value from a mark."""
     if usable(value):
         return True
-    if not 4 <= len(value) <= 4096 or _HOLDER.search(value) or _FORM.search(value) or len(set(value)) < 3 or re.search(r"[\n\t]|\w+://", value):
+    if len(value) < 4 or _HOLDER.search(value) or _FORM.search(value) or len(set(value)) < 3 or re.search(r"[\n\t]|\w+://", value):
         return False
     if value.startswith(("/", "./", "../")):
         return len(value) >= 8 and not re.search(r"\s", value) and not _FILE.search(value) and all(re.search(c, value) for c in ("[a-z]", "[A-Z]", r"\d"))
@@ -92,6 +103,22 @@ def structured(value: str) -> bool:
     return usable(value) and (len(value) >= 16 and entropy(value) >= (2.9 if _HEX.match(value) else 3.3)) and bool(re.search(r"\d", value))
 
 
+def literals(text: str) -> Iterator[str]:
+    """All literals of a text that are long enough to be anything but marks."""
+    for m in _ANY.finditer(text):
+        if len(value := m[m.lastindex]) >= 4:
+            yield value
+
+
+def _remark(line: str) -> int:
+    """Where a remark begins that speaks of a credential before any quote, or -1. Each stretch between quotes is read once."""
+    for part in re.finditer(r"[^\"']+", line):
+        mark = _MARKER.search(line, part.start(), part.end())
+        if mark and _SPEAKS.search(line, mark.end(), part.end()):
+            return mark.start()
+    return -1
+
+
 def _inner(value: str) -> str:
     """A value without scheme and user name."""
     m = _SCHEME.match(value)
@@ -100,6 +127,12 @@ def _inner(value: str) -> str:
     return value
 
 
+def _names(name: str) -> bool:
+    """Whether a name, its last part, is that of a credential."""
+    last = name.rpartition(".")[2]
+    return bool(_NAME.search(last)) and not _NOT.search(last) and not _MAYBE_NOT.search(last)
+
+
 def credentials(text: str) -> dict[str, int]:
     """value -> strength (2 named as a credential or of a fixed form, 1 only by a weaker context), as it stands in the text.
 
@@ -129,6 +162,20 @@ def credentials(text: str) -> dict[str, int]:
         for m in pattern.finditer(text):
             if usable(m["s"]):
                 add(m["s"], 2)
+    if spoken & _ISSUERS:
+        for m in _ISSUED.finditer(text):
+            if usable(m[0]):
+                add(m[0], 2)
+    if spoken & _NAMING:
+        for m in _PAIR.finditer(text):
+            if _names(m["n"]) and usable(m["v"]) and "-----" not in m["v"]:
+                add(_inner(m["v"]), 2)
+        for m in _BETWEEN.finditer(text) if "</" in text else ():
+            if _names(m["n"]) and usable(m["s"]):
+                add(m["s"], 2)
+        for m in _NOTED.finditer(text):
+            if _names(m["n"]) and structured(m["s"]) and all(re.search(c, m["s"]) for c in ("[a-z]", "[A-Z]")):
+                add(m["s"], 2)
     for m in _ASSIGN.finditer(text) if spoken & _NAMING else ():
         name, value = m["n"].rpartition(".")[2], m["v"]
         if "-----" in value or _NOT.search(name) or (_MAYBE_NOT.search(name) and (_HEX.match(value) or not _NAME.search(name))) or re.match(r"\w+://", value):
@@ -151,8 +198,8 @@ def credentials(text: str) -> dict[str, int]:
             add(m["v"], 2)
     if spoken & _NAMING:
         for line in text.split("\n"):
-            if ("#" in line or "//" in line or "/*" in line) and (r := _REMARK.search(line)) and not _CLEARED.search(r[0]) and len(line) < 5000:
-                for m in _LITERAL.finditer(line[: r.start()]):
+            if ("#" in line or "//" in line or "/*" in line) and (r := _remark(line)) >= 0 and not _CLEARED.search(line, r):
+                for m in _LITERAL.finditer(line[:r]):
                     if structured(m["v"]) and "-----" not in m["v"]:
                         add(m["v"], 2)
     return found

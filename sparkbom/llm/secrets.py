@@ -1,8 +1,9 @@
 """Credentials that stand as literals in files, graph nodes and findings, and redacted texts.
 
-Literals in a credential's context are indexed over the whole corpus with the number of repositories that own them. Values
-that many repositories share are placeholders; rare values of a usable form are confirmed. An automaton of the confirmed
-values then re-scans every text, so that a value is found wherever it stands, with or without its context.
+All literals are indexed over the whole corpus, by a hash of 64 bits, with the number of repositories that own them and the strongest
+context in which they stand. Values that many repositories share are placeholders; rare values of a usable form that somewhere stand
+in a credential's context, or have the form of an issuer's token, are confirmed. An automaton of the confirmed values then re-scans
+every text, so that a value is found wherever it stands, with or without its context.
 
 The automaton is broadcast in blocks of BLOCK values, so its size is bounded however many there are. Null texts hold nothing;
 repeated rows count once; texts are scanned whole. Roots count as one owner with or without a trailing slash.
@@ -11,14 +12,16 @@ repeated rows count once; texts are scanned whole. Roots count as one owner with
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkbom.llm.secret_text import credentials, spellings, structured, usable
+from sparkbom.llm.secret_text import credentials, literals, spellings, structured, usable
 from sparkbom.session import cut, spread
 
 #: A hand-made value in more repositories than this is a placeholder; a random one may be shared more widely. The numbers hold
@@ -69,16 +72,25 @@ def fields(found: DataFrame, files: DataFrame | None, nodes: DataFrame | None, f
 
 
 def literal_index(texts: DataFrame) -> DataFrame:
-    """``(secret, owners, places, strength)`` of every literal that stands in a credential's context."""
+    """``(key, secret, owners, places, strength)`` of every literal: key is a hash of it, strength that of its strongest context (0: no
+    credential's), and secret the value itself where there is a context, null elsewhere."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(s, r, k) for r, t in zip(part["root"], part["text"]) for s, k in credentials(t).items()]
-            yield pd.DataFrame(rows, columns=["secret", "root", "strength"])
-
-    found = texts.select("root", "text").mapInPandas(run, "secret string, root string, strength int")
-    by_root = found.groupBy("secret", "root").agg(F.count("*").alias("n"), F.max("strength").alias("strength"))
-    return by_root.groupBy("secret").agg(F.count("root").alias("owners"), F.sum("n").alias("places"), F.max("strength").alias("strength"))
+            seen: dict[tuple[int, int], list] = {}
+            for root, text in zip(part["root"], part["text"]):
+                found = credentials(text)
+                for value, n in Counter(literals(text)).items():
+                    row = seen.setdefault((xxhash.xxh3_64_intdigest(value) - (1 << 63), root), [0, 0, None])
+                    row[0] += n
+                for value, strength in found.items():
+                    row = seen.setdefault((xxhash.xxh3_64_intdigest(value) - (1 << 63), root), [0, 0, None])
+                    row[0], row[1], row[2] = max(1, row[0]), max(strength, row[1]), value
+            yield pd.DataFrame([(k, r, *row) for (k, r), row in seen.items()], columns=["key", "root", "n", "strength", "secret"])
+
+    found = texts.select(F.xxhash64("root").alias("root"), "text").mapInPandas(run, "key long, root long, n long, strength int, secret string")
+    by_root = found.groupBy("key", "root").agg(F.sum("n").alias("n"), F.max("strength").alias("strength"), F.max("secret").alias("secret"))
+    return by_root.groupBy("key").agg(F.max("secret").alias("secret"), F.count("root").alias("owners"), F.sum("n").alias("places"), F.max("strength").alias("strength"))
 
 
 def confirmed(index: DataFrame, roots: int = 0) -> DataFrame:
@@ -92,7 +104,7 @@ def confirmed(index: DataFrame, roots: int = 0) -> DataFrame:
             limit = random.map(lambda r: scale * (OWNERS_RANDOM if r else OWNERS))
             yield part[((part["owners"] <= limit) | key) & (part["strength"] >= random.map(lambda r: 1 if r else 2))][["secret", "owners"]]
 
-    return index.mapInPandas(run, "secret string, owners long")
+    return index.where("strength > 0 and secret is not null").mapInPandas(run, "secret string, owners long")
 
 
 def _automaton(secrets: list[str]) -> ahocorasick.Automaton:
@@ -182,6 +194,16 @@ def secrets_of(texts: DataFrame) -> DataFrame:
     return confirmed(literal_index(texts), texts.select("root").distinct().count())
 
 
+def steps(files: DataFrame | None, nodes: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """``(step, n)``: literals indexed, those in a credential's context, those confirmed, and places found by the automaton."""
+    texts = cut(places(files, nodes, findings), "texts")
+    index = cut(literal_index(texts), "literals")
+    secrets = cut(confirmed(index, texts.select("root").distinct().count()), "secrets")
+    count = lambda df, step: df.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "n")
+    out = count(index, "indexed").unionByName(count(index.where("strength > 0"), "in context")).unionByName(count(secrets, "confirmed"))
+    return out.unionByName(count(occurrences(texts, secrets), "found"))
+
+
 def find(files: DataFrame | None, nodes: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
     """``(place, item_id, secret)`` over all given tables."""
     texts = cut(places(files, nodes, findings), "texts")

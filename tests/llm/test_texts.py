@@ -216,6 +216,8 @@ def test_spam(spark):
 
 WHOLE = {
     'String apiKey =\n    "Hx9$kLm2Qw77";\n': "Hx9$kLm2Qw77", 'c = AES.new(\n    b"0123456789abcdeX",\n    AES.MODE_ECB)\n': "0123456789abcdeX", 'password = "s3c!"': "s3c!", 'passphrase = "correct horse battery staple"': "correct horse battery staple",
+    'cfg.set("db.password", "Hx9$kLm2Qw")': "Hx9$kLm2Qw", "x = '<password>Hx9$kLm2Qw</password>'": "Hx9$kLm2Qw", "y = 1\n# api_key: Zk8Lm2Qw9Xy4Tn7Bv3\n": "Zk8Lm2Qw9Xy4Tn7Bv3", "see('ghp_Ab3dEf6hIj9kLm2nOp5qRs8tUv1wXy4zAb7d')": "ghp_Ab3dEf6hIj9kLm2nOp5qRs8tUv1wXy4zAb7d",
+    f'password = "{"aB3$xK9-" * 700}"': "aB3$xK9-" * 700, "x = [1]" + ", 'a#b'" * 3000 + ", 'Zk8Lm2Qw9Xy4Tn7Bv3'  # the token of the gateway": "Zk8Lm2Qw9Xy4Tn7Bv3",
     'secret = "/Kx9wQ2mT7vLp4Rz8Yb"': "/Kx9wQ2mT7vLp4Rz8Yb", 'password = "purple-monkey-dishwasher"': "purple-monkey-dishwasher", 'c = connect("db:1", "app", "Hx9$kLm2Qw")': "Hx9$kLm2Qw",
 }
 
@@ -232,6 +234,12 @@ def test_no_credentials(text):
     assert credentials(text) == {}
 
 
+def test_every_literal_is_indexed(spark):
+    rows = [("/r/a", "x = 'plain one'\ny = \"plain one\" + `other`\npassword = 'Hx9$kLm2Qw'\n"), ("/r/b", "z = 'plain one'\nHx = 'Hx9$kLm2Qw' + 'abc'\n")]
+    index = secrets.literal_index(spark.createDataFrame(rows, "root string, text string")).collect()
+    assert sorted((r.secret or "", r.owners, r.places, r.strength) for r in index) == [("", 1, 1, 0), ("", 2, 3, 0), ("Hx9$kLm2Qw", 2, 2, 2)]
+
+
 def test_weak_values_need_their_name_and_keys_any_owners(spark, monkeypatch):
     key = "-----BEGIN PRIVATE KEY-----\nabcdefghijklmnopqrstuvwxyz\n-----END PRIVATE KEY-----"
     rows = [(i, f"/r/{i}", "a.py", f'k = """{key}"""') for i in range(30)] + [(50, "/r/x", "a.py", 'password = "s3c!"\n'), (51, "/r/y", "b.py", "note = 's3c!'\n")]
@@ -241,7 +249,7 @@ def test_weak_values_need_their_name_and_keys_any_owners(spark, monkeypatch):
     assert one == {(str(i), key) for i in range(30)} | {("50", "s3c!"), ("60", "Hx9$kLm2Qw:more"), ("61", "Hx9$kLm2Qw")}
     monkeypatch.setattr(secrets, "BLOCK", 1)
     assert {tuple(r)[1:] for r in secrets.find(files).collect()} == one
-    index = spark.createDataFrame([("shared-Value-12", 8, 8, 2)], "secret string, owners long, places long, strength int")
+    index = spark.createDataFrame([(1, "shared-Value-12", 8, 8, 2)], "key long, secret string, owners long, places long, strength int")
     assert secrets.confirmed(index, 40).count() == 0 and secrets.confirmed(index, 100).count() == 1
 
 
