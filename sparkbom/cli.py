@@ -1,42 +1,37 @@
-"""``python -m sparkbom.cli scan|graph|summary --source FOLDER --out FOLDER``."""
+"""``python -m sparkbom.cli scan|exchange|graph|summary --source FOLDER --out FOLDER``."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sparkbom.operators import documents, graph, match
-from sparkbom.session import cut
+from sparkbom.operators import documents, graph, match, signals
+from sparkbom.session import cut, ship
 from sparkbom.sources import python_source, sinks
 
 
-def matched_calls(rows: DataFrame) -> DataFrame:
-    """Matched calls of parsed source rows."""
-    calls = rows.where("what = 'call'").select("root", "id", "name", "file", "line", "function", F.col("target").alias("resolved_name"), F.col("name").alias("callee"), "arguments", "keywords").dropDuplicates(["id"])
-    return match.described(match.with_arguments(match.first_matches(calls)))
-
-
-def node_table(rows: DataFrame) -> DataFrame:
-    return rows.where("what in ('function', 'call')").select("root", "id", F.col("what").alias("kind"), "name", "file", "line", "function")
-
-
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sparkbom")
-    parser.add_argument("command", choices=("scan", "graph", "summary"))
+    parser.add_argument("command", choices=("scan", "exchange", "graph", "summary"))
     parser.add_argument("--source", required=True)
     parser.add_argument("--out", required=True)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("sparkbom").getOrCreate()
+    ship(spark)
     rows = cut(python_source.parse(python_source.source_tree(spark, args.source)), "rows")
+    nodes = cut(python_source.nodes(rows), "nodes")
+    edges = python_source.containment(rows).unionByName(graph.resolve_calls(nodes).withColumn("kind", F.lit("CALLS")))
+    edges = cut(edges.join(nodes.select(F.col("id").alias("source"), "root").distinct(), "source"), "edges")
     if args.command == "scan":
-        sinks.write_documents(documents.bills(matched_calls(rows)), args.out)
+        sinks.write_documents(documents.bills(documents.full_assets(nodes, edges)), args.out)
+    elif args.command == "exchange":
+        sinks.write_documents(documents.exchange(documents.full_assets(nodes, edges)), args.out)
     elif args.command == "graph":
-        edges = python_source.containment(rows).join(node_table(rows).select(F.col("id").alias("source"), "root").distinct(), "source")
-        sinks.write_dot(graph.dot_lines(node_table(rows), edges), args.out)
+        sinks.write_dot(graph.dot_lines(nodes, edges), args.out)
     else:
-        matched_calls(rows).groupBy("root", "algorithm", "risk").agg(F.count("*").alias("assets")).write.mode("overwrite").parquet(args.out)
+        signals.assets(cut(match.matched(nodes), "matched"), nodes, edges).groupBy("root", "algorithm", "risk").agg(F.count("*").alias("assets")).write.mode("overwrite").parquet(args.out)
     return 0
 
 

@@ -9,24 +9,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkbom.session import cut, drop_cut
+from sparkbom.session import cut
 
 
 def kind(c: str = "kind") -> Column:
     return F.lower(F.trim(c))
 
 
+def latest(rows: DataFrame, key: str = "id") -> DataFrame:
+    """One row per key: the one that was loaded last, where rows say when; of equal ones any."""
+    if "loaded_at" not in rows.columns:
+        return rows.dropDuplicates([key])
+    rest = [c for c in rows.columns if c != key]
+    order = F.coalesce(F.col("loaded_at").cast("timestamp_ntz"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*").select(*rows.columns)
+
+
 def nodes_of(nodes: DataFrame) -> DataFrame:
     """One row per node id."""
-    return nodes.where("id is not null").dropDuplicates(["id"]).withColumn("kind", kind())
+    return latest(nodes.where("id is not null")).withColumn("kind", kind())
 
 
 def calls_of(nodes: DataFrame) -> DataFrame:
     """Call nodes with their properties as columns."""
-    p = "properties."
-    one = nodes.where((kind() == "call") & F.col("id").isNotNull()).dropDuplicates(["id"])
-    arguments = F.coalesce(F.col(p + "arguments"), F.array().cast("array<string>"))
-    return one.select("root", "id", "name", "file", "line", "function", F.col(p + "resolved_name").alias("resolved_name"), F.col(p + "callee").alias("callee"), arguments.alias("arguments"), F.col(p + "keywords").alias("keywords"))
+    p = F.col("properties")
+    one = nodes.where((kind() == "call") & F.col("id").isNotNull())
+    arguments = F.coalesce(p["arguments"], F.array().cast("array<string>"))
+    types = F.transform(p["literal_arguments"], lambda x: x["py_type"])
+    keep = ["loaded_at"] if "loaded_at" in nodes.columns else []
+    # only the columns in use pass the exchange
+    narrow = one.select("root", "id", "name", "file", "line", "function", p["resolved_name"].alias("resolved_name"), p["callee"].alias("callee"), arguments.alias("arguments"), p["keywords"].alias("keywords"), types.alias("literal_types"), *keep)
+    return latest(narrow).drop("loaded_at")
 
 
 def kind_counts(nodes: DataFrame) -> DataFrame:
@@ -51,18 +64,18 @@ def neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def call_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(caller, callee)`` by name: distinct CALLS edges both of whose ends are found and named."""
-    n = nodes_of(nodes).where("name is not null").select("id", "name", "function")
+    """``(root, caller, callee)`` by name: distinct CALLS edges both of whose ends are found in one repository and named."""
+    n = nodes_of(nodes).where("name is not null").select("root", "id", F.coalesce("function", "name").alias("fn"))
     e = edges.where(F.upper(F.trim("kind")) == "CALLS").select("source", "target").distinct()
-    source = n.select(F.col("id").alias("source"), F.coalesce("function", "name").alias("caller"))
-    target = n.select(F.col("id").alias("target"), F.coalesce("function", "name").alias("callee"))
-    return e.join(source, "source").join(target, "target").select("caller", "callee").distinct().where("caller <> callee")
+    source = n.select("root", F.col("id").alias("source"), F.col("fn").alias("caller"))
+    target = n.select(F.col("root").alias("to"), F.col("id").alias("target"), F.col("fn").alias("callee"))
+    return e.join(source, "source").join(target, "target").where("root = to and caller <> callee").select("root", "caller", "callee").distinct()
 
 
 def resolve_calls(nodes: DataFrame) -> DataFrame:
     """Synthetic call edges ``(source, target)``: a call's full name, else its last part, names a function of the same root;
     of equal names the last by id counts. Two hash joins; no self edges; distinct."""
-    f = nodes_of(nodes).where("kind = 'function' and name is not null").select("root", "name", "id")
+    f = nodes_of(nodes.select("root", "id", "kind", "name", *(c for c in nodes.columns if c == "loaded_at"))).where("kind = 'function' and name is not null").select("root", "name", "id")
     short = F.substring_index("name", ".", -1)
     full_of = f.groupBy("root", "name").agg(F.max("id").alias("full_id"))
     short_of = f.groupBy("root", short.alias("short")).agg(F.max("id").alias("short_id"))
@@ -73,37 +86,39 @@ def resolve_calls(nodes: DataFrame) -> DataFrame:
 
 
 def longest_chains(pairs: DataFrame, cap: int = 24) -> DataFrame:
-    """``(fn, chain)``: the longest simple chain of callers that ends at each function, at most ``cap`` long, root first; of
-    equal lengths the one whose path from the leaf sorts first.
+    """``(root, fn, chain)`` of ``(root, caller, callee)``: the longest simple chain of callers that ends at each function, at most
+    ``cap`` long, topmost first; of equal lengths the one whose path from the leaf sorts first.
 
     A function all of whose callers are settled is settled by the best of them, so everything above recursion takes one pass
-    per level and no paths are listed. Only from functions on or below a cycle are simple paths enumerated, and only up to the
-    first settled function, whose best chain completes them."""
-    pairs = cut(pairs.select("caller", "callee").where("caller <> callee").distinct(), "pairs")
-    fns = pairs.select(F.col("caller").alias("fn")).union(pairs.select("callee")).distinct()
-    wanted = pairs.groupBy(F.col("callee").alias("fn")).agg(F.count("*").alias("callers"))
-    best = cut(fns.join(wanted, "fn", "left_anti").select("fn", F.array("fn").alias("path")), "chain")  # leaf first
-    known = -1
-    while (n := best.count()) != known:
-        known = n
-        up = pairs.join(best.select(F.col("fn").alias("caller"), "path"), "caller").groupBy(F.col("callee").alias("fn"))
-        ready = up.agg(F.count("*").alias("settled"), F.min(F.struct((-F.size("path")).alias("n"), F.col("path"))).alias("b")).join(wanted, "fn").where("settled = callers")
-        ready = ready.select("fn", F.slice(F.concat(F.array("fn"), "b.path"), 1, cap).alias("path")).join(best.select("fn"), "fn", "left_anti")
-        new = cut(best.unionByName(ready), "chain")
-        drop_cut(best)
-        best = new
-    rest = cut(fns.join(best.select("fn"), "fn", "left_anti"), "rest")
-    front = rest.select("fn", F.array("fn").alias("path"))
+    per level and no paths are listed; each pass follows the functions settled by the last one only. From functions on or below a
+    cycle simple paths are enumerated, and only up to the first settled function, whose best chain completes them: their number
+    may grow with the branches of the cycle to the power of ``cap``, as a longest simple path is hard to find in general."""
+    key = ["root", "fn"]
+    pairs = cut(pairs.select("root", "caller", "callee").where("caller <> callee").distinct(), "pairs")
+    fns = pairs.select("root", F.col("caller").alias("fn")).union(pairs.select("root", "callee")).distinct()
+    wanted = cut(pairs.groupBy("root", F.col("callee").alias("fn")).agg(F.count("*").alias("callers")), "wanted")
+    front = cut(fns.join(wanted, key, "left_anti").select("root", "fn", F.array("fn").alias("path")), "chain")  # leaf first
+    settled, open_ = front, wanted.select(*key, "callers", F.lit(None).cast("struct<n:int,path:array<string>>").alias("b"))
+    while not front.isEmpty():
+        came = pairs.join(front.select("root", F.col("fn").alias("caller"), "path"), ["root", "caller"]).groupBy("root", F.col("callee").alias("fn"))
+        came = came.agg(F.count("*").alias("more"), F.min(F.struct((-F.size("path")).alias("n"), F.col("path"))).alias("c"))
+        state = open_.join(came, key, "left")
+        best = F.when(F.col("b").isNull(), F.col("c")).when(F.col("c").isNull(), F.col("b")).otherwise(F.least("b", "c"))
+        state = cut(state.select(*key, (F.col("callers") - F.coalesce("more", F.lit(0))).alias("callers"), best.alias("b")), "open")
+        front = cut(state.where("callers = 0").select(*key, F.slice(F.concat(F.array("fn"), "b.path"), 1, cap).alias("path")), "chain")
+        settled, open_ = settled.unionByName(front), state.where("callers > 0")
+    settled, rest = cut(settled, "settled"), cut(open_.select(*key), "rest")
+    front = rest.select(*key, F.array("fn").alias("path"))
     found, length = front, 1
     while length < cap and not front.isEmpty():
         length += 1
-        step = front.withColumn("callee", F.element_at("path", -1)).join(pairs, "callee").where(~F.array_contains("path", F.col("caller"))).select("fn", "path", "caller")
-        step = cut(step.join(best.select(F.col("fn").alias("caller"), F.col("path").alias("above")), "caller", "left"), "step")
-        closed = step.where("above is not null").select("fn", F.slice(F.concat("path", "above"), 1, cap).alias("path"))
-        front = step.where("above is null").select("fn", F.concat("path", F.array("caller")).alias("path"))
+        step = front.withColumn("callee", F.element_at("path", -1)).join(pairs, ["root", "callee"]).where(~F.array_contains("path", F.col("caller"))).select("root", "fn", "path", "caller")
+        step = cut(step.join(settled.select("root", F.col("fn").alias("caller"), F.col("path").alias("above")), ["root", "caller"], "left"), "step")
+        closed = step.where("above is not null").select("root", "fn", F.slice(F.concat("path", "above"), 1, cap).alias("path"))
+        front = step.where("above is null").select("root", "fn", F.concat("path", F.array("caller")).alias("path"))
         found = found.unionByName(closed).unionByName(front)
-    longest = found.groupBy("fn").agg(F.min(F.struct((-F.size("path")).alias("n"), F.col("path"))).alias("b")).select("fn", F.col("b.path").alias("path"))
-    return best.unionByName(longest).select("fn", F.reverse("path").alias("chain"))
+    longest = found.groupBy(*key).agg(F.min(F.struct((-F.size("path")).alias("n"), F.col("path"))).alias("b")).select(*key, F.col("b.path").alias("path"))
+    return settled.unionByName(longest).select(*key, F.reverse("path").alias("chain"))
 
 
 def reach(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...] = ("DFG", "DATA_FLOW", "REACHES"), hops: int = 24) -> DataFrame:
@@ -143,8 +158,10 @@ def layout(first: DataFrame) -> DataFrame:
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(root, pos, line)``: a drawing in the DOT language, lines in order of pos within each root."""
+    """``(root, part, line)``: a drawing per root in the DOT language: a head (part 0), nodes (1), edges (2) and a foot (3)."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     n = nodes_of(nodes).select("root", F.lit(1).alias("part"), F.concat(F.lit('  "'), esc(F.col("id")), F.lit('" [label="'), esc(F.coalesce("name", "kind")), F.lit('"];')).alias("line"))
     e = edges.where("source is not null and target is not null").select("root", F.lit(2).alias("part"), F.concat(F.lit('  "'), esc(F.col("source")), F.lit('" -> "'), esc(F.col("target")), F.lit('" [label="'), esc(F.upper(F.trim("kind"))), F.lit('"];')).alias("line"))
-    return n.unionByName(e)
+    ends = n.select("root").union(e.select("root")).distinct()
+    frame = lambda part, line: ends.select("root", F.lit(part).alias("part"), F.lit(line).alias("line"))
+    return n.unionByName(e).unionByName(frame(0, "digraph G {")).unionByName(frame(3, "}"))

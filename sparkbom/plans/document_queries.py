@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkbom.operators import documents as D
+from sparkbom.operators import graph as G
 from sparkbom.operators import match as M
-from sparkbom.plans.match_queries import FULL
+from sparkbom.operators import signals as S
+from sparkbom.plans.match_sql import FULL, RISK
 from sparkbom.session import cut, table
 from sparkbom.sources import graph_json as J
 from sparkbom.sources import python_source as P
@@ -18,21 +20,38 @@ KNOWN = (
     "AES.new", "PKCS1_OAEP.new", "RSA.generate", "hashlib.sha256", "hashlib.sha1", "hashlib.md5", "hashlib.pbkdf2_hmac", "hmac.new", "Fernet.generate_key", "Fernet", "secrets.token_bytes", "os.urandom", "random.randbytes",
     "Cipher", "random.randint", "jwt.encode", "jwt.decode",
 )
-#: The shorter list from which the oracle SQL below is still made.
-SCANNED = ("AES.new", "hashlib.md5", "hashlib.sha1", "hashlib.sha256", "hmac.new", "Cipher", "Fernet", "os.urandom", "random.randint", "jwt.encode", "jwt.decode")
 
 
 def _m(spark: SparkSession, sf: str) -> DataFrame:
     return M.matched(table(spark, sf, "nodes"))
 
 
+def _full(spark: SparkSession, sf: str) -> DataFrame:
+    return D.full_assets(table(spark, sf, "nodes"), table(spark, sf, "edges"))
+
+
 def bill_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return D.bills(_m(spark, sf)).select("root", "file", "assets", "supporting")
+    """Assets, supporting artifacts and ignored calls of each file's bill."""
+    kind = lambda k: F.count_if(F.col("asset_class") == k).cast("int")
+    return _m(spark, sf).groupBy("root", "file").agg(kind("primary_asset").alias("assets"), kind("supporting_artifact").alias("supporting"), kind("ignore").alias("ignored"))
 
 
 def bill_json(spark: SparkSession, sf: str) -> DataFrame:
     """The documents themselves."""
-    return D.bills(_m(spark, sf)).select("root", "file", "document")
+    return D.bills(_full(spark, sf)).select("root", "file", "document")
+
+
+def exchange_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The exchange documents."""
+    return D.exchange(_full(spark, sf))
+
+
+def graph_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges in and out of each matched call, and callers and callees of its function."""
+    nodes, edges = table(spark, sf, "nodes"), table(spark, sf, "edges")
+    counts = D.call_counts(G.call_graph(nodes, edges)).withColumnRenamed("fn", "function")
+    m = M.matched(nodes).select("id", "root", "function").join(counts, ["root", "function"], "left").join(D.edge_facts(edges), "id", "left").fillna(0, ["callers", "callees", "incoming", "outgoing"])
+    return m.select("id", "callers", "callees", "incoming", "outgoing", F.coalesce(F.array_join("edge_kinds", ","), F.lit("")).alias("edge_kinds"))
 
 
 def exchange_components(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,8 +63,8 @@ def provider_dependencies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = table(spark, sf, "nodes")
-    return D.manifest(M.matched(nodes), nodes, table(spark, sf, "edges"))
+    nodes, edges = table(spark, sf, "nodes"), table(spark, sf, "edges")
+    return D.manifest(S.assets(cut(M.matched(nodes), "matched"), nodes, edges), nodes, edges)
 
 
 def file_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,9 +113,7 @@ def python_assignments(spark: SparkSession, sf: str) -> DataFrame:
 
 def python_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Source text to matched calls: parse, resolve imports, match."""
-    rows = P.parse(table(spark, sf, "source_files")).where("what = 'call'")
-    calls = rows.select("root", "id", "name", "file", "line", "function", F.col("target").alias("resolved_name"), F.col("name").alias("callee"), "arguments", "keywords").dropDuplicates(["id"])
-    return M.described(M.with_arguments(M.first_matches(calls))).groupBy("api", "risk").agg(F.count("*").alias("n"))
+    return M.described(M.with_arguments(M.first_matches(P.calls(P.parse(table(spark, sf, "source_files")))))).groupBy("api", "algorithm", "mode").agg(F.count("*").alias("n"))
 
 
 def graph_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,8 +125,7 @@ def graph_documents(spark: SparkSession, sf: str) -> DataFrame:
 def finding_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Findings as they were recorded, counted once each in one pass."""
     f = table(spark, sf, "findings").select("finding_id", F.col("risk"), F.upper("algorithm").alias("algorithm"), F.coalesce("provider", F.lit("unknown")).alias("provider")).dropDuplicates(["finding_id"])
-    f.createOrReplaceTempView("_findings")
-    return spark.sql("SELECT risk, algorithm, provider, count(*) AS n FROM _findings GROUP BY GROUPING SETS ((risk), (algorithm), (provider), ())")
+    return spark.sql("SELECT risk, algorithm, provider, count(*) AS n FROM {f} GROUP BY GROUPING SETS ((risk), (algorithm), (provider), ())", f=f)
 
 
 def findings_to_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,17 +135,25 @@ def findings_to_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(n, "node_id", "left").groupBy("api_name", "kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (bill_documents, bill_json, exchange_components, provider_dependencies, run_manifest, file_fingerprint, incremental_diff, stream_versions, latest_artifact, confidence_average, pruned_documents, boundary_scan, python_parse, python_assignments, python_matches, graph_documents, finding_summary, findings_to_nodes)}
+QUERIES = {f.__name__: f for f in (bill_documents, bill_json, exchange_json, graph_context, exchange_components, provider_dependencies, run_manifest, file_fingerprint, incremental_diff, stream_versions, latest_artifact, confidence_average, pruned_documents, boundary_scan, python_parse, python_assignments, python_matches, graph_documents, finding_summary, findings_to_nodes)}
 
 _FP = "SELECT DISTINCT root, file, sha256(content) AS sha256, CAST(strlen(content) AS BIGINT) AS bytes FROM source_files WHERE content IS NOT NULL"
 _LATEST = "SELECT source, arg_max(cbom_id, (generated_at, cbom_id)) AS cbom_id, arg_max(payload, (generated_at, cbom_id)) AS payload FROM cbom_files GROUP BY source"
-_FIRST = "CASE " + " ".join(f"WHEN contains(text, '{k}(') THEN '{k}'" for k in SCANNED) + " END"
+_FIRST = "CASE " + " ".join(f"WHEN contains(text, '{k}(') THEN '{k}'" for k in KNOWN) + " END"
 SQL = {
-    "bill_documents": FULL + " SELECT root, file, CAST(count(*) FILTER (asset_class = 'primary_asset') AS INTEGER) AS assets, CAST(count(*) FILTER (asset_class = 'supporting_artifact') AS INTEGER) AS supporting FROM m GROUP BY 1, 2",
-    "exchange_components": FULL + """ SELECT root, id AS ref, 'cryptographic-asset' AS type, algorithm AS name, CASE WHEN mode IS NOT NULL AND mode <> 'unknown' THEN mode WHEN key_size IS NOT NULL THEN 'key_size:' || key_size END AS parameter_set, operation AS function FROM m WHERE asset_class = 'primary_asset'
-UNION ALL SELECT DISTINCT root, 'provider:' || provider, 'library', provider, NULL, NULL FROM m WHERE asset_class = 'primary_asset' AND provider IS NOT NULL""",
-    "provider_dependencies": FULL + " SELECT root, id AS ref, 'provider:' || provider AS depends_on FROM m WHERE asset_class = 'primary_asset'",
-    "run_manifest": FULL + """, n AS (SELECT root, count(*) AS nodes FROM nodes GROUP BY 1), e AS (SELECT root, count(*) AS edges FROM edges GROUP BY 1), a AS (SELECT root, count(*) AS assets, count(*) FILTER (risk IN ('high', 'critical')) AS high FROM m GROUP BY 1)
+    "bill_documents": FULL + " SELECT root, file, CAST(count(*) FILTER (asset_class = 'primary_asset') AS INTEGER) AS assets, CAST(count(*) FILTER (asset_class = 'supporting_artifact') AS INTEGER) AS supporting, CAST(count(*) FILTER (asset_class = 'ignore') AS INTEGER) AS ignored FROM m GROUP BY 1, 2",
+    "graph_context": FULL + """, nn AS (SELECT DISTINCT root, id, coalesce(function, name) AS fn FROM nodes WHERE id IS NOT NULL AND name IS NOT NULL),
+g AS (SELECT DISTINCT a.root, a.fn AS caller, b.fn AS callee FROM edges e JOIN nn a ON a.id = e.source JOIN nn b ON b.id = e.target AND b.root = a.root WHERE upper(trim(e.kind)) = 'CALLS' AND a.fn <> b.fn),
+ee AS (SELECT source AS id, 0 AS i, 1 AS o, upper(trim(kind)) AS kind FROM edges WHERE source IS NOT NULL UNION ALL SELECT target, 1, 0, upper(trim(kind)) FROM edges WHERE target IS NOT NULL),
+ef AS (SELECT id, sum(i) AS i, sum(o) AS o, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM ee GROUP BY id)
+SELECT m.id, coalesce(r.n, 0) AS callers, coalesce(c.n, 0) AS callees, CAST(coalesce(ef.i, 0) AS BIGINT) AS incoming, CAST(coalesce(ef.o, 0) AS BIGINT) AS outgoing, coalesce(kinds, '') AS edge_kinds FROM m LEFT JOIN ef ON ef.id = m.id
+LEFT JOIN (SELECT root, callee, count(*) AS n FROM g GROUP BY 1, 2) r ON r.root = m.root AND r.callee = m.function LEFT JOIN (SELECT root, caller, count(*) AS n FROM g GROUP BY 1, 2) c ON c.root = m.root AND c.caller = m.function""",
+    "exchange_components": FULL + """ SELECT root, id AS ref, 'cryptographic-asset' AS type, algorithm AS name, CASE WHEN mode IS NOT NULL AND mode <> 'unknown' THEN mode WHEN key_size <> 'unknown' THEN 'key_size:' || key_size END AS parameter_set,
+CASE operation WHEN 'encryption' THEN 'encrypt' WHEN 'decryption' THEN 'decrypt' WHEN 'hashing' THEN 'digest' WHEN 'key_derivation' THEN 'derive' WHEN 'key_generation' THEN 'generate' WHEN 'random_generation' THEN 'generate' WHEN 'authentication' THEN 'authenticate' WHEN 'signing' THEN 'sign' WHEN 'verification' THEN 'verify' ELSE operation END AS function FROM m WHERE asset_class = 'primary_asset'
+UNION ALL SELECT DISTINCT root, 'crypto-provider:' || replace(lower(provider), ' ', '-'), 'library', provider, NULL, NULL FROM m WHERE asset_class = 'primary_asset' AND provider IS NOT NULL""",
+    "provider_dependencies": FULL + """ SELECT root, id AS ref, 'crypto-provider:' || replace(lower(provider), ' ', '-') AS depends_on FROM m WHERE asset_class = 'primary_asset'
+UNION ALL SELECT DISTINCT root, 'crypto-provider:' || replace(lower(provider), ' ', '-'), NULL FROM m WHERE asset_class = 'primary_asset' AND provider IS NOT NULL""",
+    "run_manifest": RISK + """, n AS (SELECT root, count(*) AS nodes FROM nodes GROUP BY 1), e AS (SELECT root, count(*) AS edges FROM edges GROUP BY 1), a AS (SELECT root, count(*) AS assets, count(*) FILTER (risk IN ('high', 'critical')) AS high FROM r GROUP BY 1)
 SELECT root, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, coalesce(assets, 0) AS assets, coalesce(high, 0) AS high FROM n FULL JOIN e USING (root) FULL JOIN a USING (root)""",
     "file_fingerprint": _FP,
     "incremental_diff": f"""WITH b AS ({_FP} AND loaded_at < TIMESTAMP '2025-07-01'), a AS ({_FP})

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbom.functions import dims
+from sparkbom.operators import explain as E
 from sparkbom.operators import graph as G
 from sparkbom.operators import match as M
-from sparkbom.session import table
+from sparkbom.operators import signals as S
+from sparkbom.plans.match_sql import SQL  # noqa: F401
+from sparkbom.session import cut, table
 
 
 def _m(spark: SparkSession, sf: str) -> DataFrame:
     return M.matched(table(spark, sf, "nodes"))
 
 
+def _assets(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = table(spark, sf, "nodes")
+    return S.assets(cut(M.matched(nodes), "matched"), nodes, table(spark, sf, "edges"))
+
+
 def match_api(spark: SparkSession, sf: str) -> DataFrame:
     return M.matches(G.calls_of(table(spark, sf, "nodes")))
 
@@ -27,32 +34,63 @@ def unmatched_calls_anti(spark: SparkSession, sf: str) -> DataFrame:
     return M.unmatched(G.calls_of(table(spark, sf, "nodes"))).groupBy("name").agg(F.count("*").alias("n"))
 
 
+def normalized_algorithms(spark: SparkSession, sf: str) -> DataFrame:
+    """What each call really uses, whatever wrapper it goes through."""
+    return _m(spark, sf).select("id", "api", "algorithm", "primitive", "provider", "mode", "padding", "key_size", "operation", F.array_join("evidence", "; ").alias("evidence"))
+
+
 def summary_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Five counts in one pass over the assets."""
-    m = _m(spark, sf).where("asset_class = 'primary_asset'").select("risk", "primitive", "algorithm", "provider", "operation")
-    m.createOrReplaceTempView("_assets")
-    return spark.sql("SELECT risk, primitive, algorithm, provider, operation, count(*) AS n FROM _assets GROUP BY GROUPING SETS ((risk), (primitive), (algorithm), (provider), (operation), ())")
+    m = _assets(spark, sf).where("asset_class = 'primary_asset'").select("risk", "primitive", "algorithm", F.coalesce("provider", F.lit("unknown")).alias("provider"), "operation")
+    return spark.sql("SELECT risk, primitive, algorithm, provider, operation, count(*) AS n FROM {m} GROUP BY GROUPING SETS ((risk), (primitive), (algorithm), (provider), (operation), ())", m=m)
 
 
 def class_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _m(spark, sf).groupBy("asset_class", "primitive").agg(F.count("*").alias("n"))
+    return _m(spark, sf).groupBy("asset_class", "primitive", "class_reason").agg(F.count("*").alias("n"))
 
 
 def call_details(spark: SparkSession, sf: str) -> DataFrame:
-    """Mode, padding, digest, curve, key size, iterations and literals of every matched call."""
-    return _m(spark, sf).select("id", "mode", "padding", "digest", "curve", "key_size", "iterations", "literals", "operation")
+    """Mode, padding, digest, curve, key size, iterations and operation of every matched call."""
+    return _m(spark, sf).select("id", "mode", "padding", "digest", "curve", "key_size", "iterations", "operation")
+
+
+def argument_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """What each argument is for and what is known of its value."""
+    nodes = table(spark, sf, "nodes")
+    s = S.argument_signals(M.matched(nodes), nodes)
+    return s.select("id", "index", "role", "semantic_value", "is_literal", "literal_origin", "origin_kind", "origin_expression", "mode", "padding", "key_size")
+
+
+def flow_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Where key, data, vector, nonce, salt and randomness of each call come from, and where its output goes."""
+    nodes = table(spark, sf, "nodes")
+    f = S.flow_sources(cut(M.matched(nodes), "matched"), nodes, table(spark, sf, "edges"))
+    return f.select("id", *(f"{r}_source" for r in ("key", "data", "iv", "nonce", "salt", "randomness")), "sink_type", "sink_id", "hardcoded", F.array_join("classes", ",").alias("classes"))
 
 
 def risk_full(spark: SparkSession, sf: str) -> DataFrame:
-    return _m(spark, sf).select("id", "risk", F.concat_ws(",", "tags").alias("tags"), F.round("confidence", 2).alias("confidence"))
+    return _assets(spark, sf).select("id", "risk", F.concat_ws(",", "tags").alias("tags"), F.round("confidence", 2).alias("confidence"))
 
 
 def max_risk_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return _m(spark, sf).groupBy("root", "file").agg(F.max_by("risk", M.rank(F.col("risk"))).alias("risk"), F.count("*").alias("assets"))
+    return _assets(spark, sf).groupBy("root", "file").agg(F.max_by("risk", M.rank(F.col("risk"))).alias("risk"), F.count("*").alias("assets"))
 
 
 def rule_match_v2(spark: SparkSession, sf: str) -> DataFrame:
-    return M.rule_matches(_m(spark, sf)).select("id", "rule_id")
+    return M.rule_matches(_m(spark, sf)).select("id", "rule_id", "explanation")
+
+
+def rule_match_v1(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the first profile: the rules in their order and the highest of their risks."""
+    m = _m(spark, sf)
+    hit = M.rule_matches_v1(m).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "rule_id"))).alias("r"), F.max_by("risk", M.rank(F.col("risk"))).alias("risk"))
+    rules = F.array_join(F.transform("r", lambda x: x["rule_id"]), ",")
+    return m.select("id").join(hit, "id", "left").select("id", F.coalesce(rules, F.lit("")).alias("rules"), F.coalesce("risk", F.lit("info")).alias("risk"))
+
+
+def summary_v1(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls by rule and by risk of the first profile."""
+    return M.rule_matches_v1(_m(spark, sf)).groupBy("rule_id", "risk").agg(F.count("*").alias("n"))
 
 
 def rule_priority_sort(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +104,10 @@ def rule_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_label_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return _m(spark, sf).select("id", F.explode(M.classify_sources(F.col("args"))).alias("source")).groupBy("source").agg(F.count("*").alias("n"))
+    """Classes of data per argument, by the words in it."""
+    a = _m(spark, sf).select("id", F.posexplode("args").alias("index", "argument"))
+    a = a.select("id", "index", F.lower("argument").alias("low"))
+    return a.select("id", "index", F.explode(S.classes_of(S.source_mask(F.col("low")))).alias("source")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 def sink_first_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,13 +115,22 @@ def sink_first_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def argument_roles(spark: SparkSession, sf: str) -> DataFrame:
-    a = _m(spark, sf).select("api", F.posexplode("args").alias("pos", "argument"))
-    return a.groupBy("api", "pos", M.role(F.col("argument")).alias("role")).agg(F.count("*").alias("n"))
+    nodes = table(spark, sf, "nodes")
+    return S.argument_signals(M.matched(nodes), nodes).groupBy("api", "index", "role").agg(F.count("*").alias("n"))
 
 
 def argument_origins(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "nodes")
-    return M.origins(M.matched(nodes), nodes).groupBy("origin").agg(F.count("*").alias("n"), F.count_distinct("bare").alias("names"))
+    return S.argument_signals(M.matched(nodes), nodes).groupBy("origin_kind", "literal_origin").agg(F.count("*").alias("n"), F.count_distinct("semantic_value").alias("texts"))
+
+
+def usage_explanations(spark: SparkSession, sf: str) -> DataFrame:
+    """The explained context and intent of every call, with the callers above it."""
+    nodes = table(spark, sf, "nodes")
+    chains = G.longest_chains(G.call_graph(nodes, table(spark, sf, "edges")))
+    m = E.with_chains(M.matched(nodes), chains)
+    m = m.select("id", E.usage_context().alias("u"), E.intent().alias("i"), E.usage_intent().alias("stated"))
+    return m.select("id", F.col("u.value").alias("context"), F.col("u.method").alias("context_method"), F.col("u.confidence").alias("context_confidence"), F.col("i.value").alias("intent"), F.col("i.method").alias("intent_method"), F.col("i.confidence").alias("intent_confidence"), F.array_join(F.concat("u.evidence", "i.evidence"), "; ").alias("evidence"), "stated")
 
 
 def first_three_args(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,12 +138,15 @@ def first_three_args(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asset_id_hash(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.concat_ws("|", "api", "file", F.coalesce(F.col("line").cast("string"), F.lit("None")), F.coalesce("function", F.lit("")), "id")
-    return _m(spark, sf).select("id", F.concat(F.lit("crypto-"), F.substring(F.sha2(key, 256), 1, 16)).alias("asset_id"))
+    """Stable ids of an asset and of its place."""
+    line, function = F.coalesce(F.col("line").cast("string"), F.lit("None")), F.coalesce("function", F.lit(""))
+    asset = F.concat_ws("|", "api", "file", line, function, "id")
+    node = F.concat_ws("|", "file", line, function, "api")
+    return _m(spark, sf).select("id", F.concat(F.lit("crypto-"), F.substring(F.sha2(asset, 256), 1, 16)).alias("asset_id"), F.concat(F.lit("n_"), F.substring(F.sha2(node, 256), 1, 12)).alias("node_ref"))
 
 
 def function_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return _m(spark, sf).groupBy("root", F.coalesce("function", F.lit("module_level")).alias("function")).agg(F.count("*").alias("crypto_calls"), F.count_distinct("algorithm").alias("algorithms"), F.count_if(F.col("risk").isin("high", "critical")).alias("high"))
+    return _assets(spark, sf).groupBy("root", F.coalesce("function", F.lit("module_level")).alias("function")).agg(F.count("*").alias("crypto_calls"), F.count_distinct("algorithm").alias("algorithms"), F.count_if(F.col("risk").isin("high", "critical")).alias("high"))
 
 
 def provider_components(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,63 +154,10 @@ def provider_components(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("root").agg(F.array_join(F.sort_array(F.collect_set("provider")), ",").alias("providers"), F.count("*").alias("assets"))
 
 
-QUERIES = {f.__name__: f for f in (match_api, match_api_first_wins, unmatched_calls_anti, summary_grouping_sets, class_counts, call_details, risk_full, max_risk_fold, rule_match_v2, rule_priority_sort, rule_group, source_label_classify, sink_first_match, argument_roles, argument_origins, first_three_args, asset_id_hash, function_panel, provider_components)}
-
-_in = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
-_case = lambda c, d, other: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in d.items()) + f" ELSE {other} END"
-CALLS = """c AS (SELECT DISTINCT root, id, name, file, line, function, properties.resolved_name AS resolved_name, properties.callee AS callee,
-coalesce(properties.arguments, []) AS arguments, properties.keywords AS keywords FROM nodes WHERE lower(trim(kind)) = 'call' AND id IS NOT NULL)"""
-BASE = f"""WITH {CALLS}, cand AS (SELECT id, 0 AS rank, name AS cand FROM c UNION ALL SELECT id, 1, resolved_name FROM c UNION ALL SELECT id, 2, callee FROM c),
-hit AS (SELECT cand.id, cand.rank, m.seq, m.api FROM cand JOIN {dims.API_SQL} ON cand.cand = m.api OR ends_with(cand.cand, '.' || m.api)),
-best AS (SELECT id, seq FROM hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, seq) = 1),
-m0 AS (SELECT c.*, m.api, m.algorithm, m.primitive, m.provider, arguments || [k || '=' || coalesce(keywords[k], '') FOR k IN list_sort(coalesce(map_keys(keywords), []))] AS args
-  FROM c JOIN best USING (id) JOIN {dims.API_SQL} ON m.seq = best.seq)"""
-LIT = r"""regexp_matches(trim(regexp_replace(x, '^\s*[A-Za-z_]\w*\s*=', '')), '^[bBrRuU]{0,2}(?:''.*''|".*")$|^[-+]?\d[\d_]*(?:\.\d+)?$')"""
-NUM = r"[CAST(x AS INTEGER) FOR x IN regexp_extract_all(array_to_string(args, ' '), '\b\d{2,5}\b')]"
-FULL = BASE + rf""", m1 AS (SELECT *, array_to_string(args, ' ') AS text, lower(api || ' ' || array_to_string(args, ' ')) AS low, {NUM} AS nums FROM m0),
-m2 AS (SELECT *, coalesce(nullif(regexp_extract(text, '(?:MODE_|modes\.)(ECB|CBC|GCM|CTR|CFB|OFB|EAX|SIV|CCM)', 1), ''), CASE WHEN primitive = 'cipher_mode' THEN algorithm WHEN algorithm = 'AES-GCM' THEN 'GCM' END) AS mode,
- CASE WHEN contains(low, 'oaep') THEN 'OAEP' WHEN contains(low, 'pss') THEN 'PSS' WHEN contains(low, 'pkcs1v15') THEN 'PKCS1v15' WHEN contains(low, 'pkcs7') THEN 'PKCS7' END AS padding,
- CASE WHEN contains(replace(lower(text), '_', '-'), 'sha256') THEN 'SHA-256' WHEN contains(replace(lower(text), '_', '-'), 'sha512') THEN 'SHA-512' WHEN contains(replace(lower(text), '_', '-'), 'sha1') THEN 'SHA-1' WHEN contains(lower(text), 'md5') THEN 'MD5' END AS digest,
- nullif(regexp_extract(api || ' ' || text, 'SECP(256|384|521)R1'), '') AS curve,
- CASE WHEN algorithm IN ('RSA', 'RSA-OAEP') THEN [x FOR x IN nums IF x BETWEEN 512 AND 8192][1]
-  WHEN algorithm IN ('AES', 'ChaCha20', 'Fernet', 'HMAC') THEN [CASE WHEN x <= 32 THEN x * 8 ELSE x END FOR x IN nums IF x IN (16, 24, 32) OR x BETWEEN 128 AND 512][1]
-  WHEN algorithm IN ('PBKDF2', 'HKDF', 'Scrypt') THEN [x * 8 FOR x IN nums IF x IN (16, 24, 32, 48, 64)][1] END AS key_size,
- TRY_CAST(trim(string_split([x FOR x IN args IF contains(lower(x), 'iterations') AND len(string_split(x, '=')) = 2][1], '=')[2]) AS INTEGER) AS iterations,
- CAST(len([x FOR x IN args IF {LIT}]) AS INTEGER) AS literals,
- CASE WHEN primitive IN {_in(dims.PRIMARY)} THEN 'primary_asset' ELSE 'supporting_artifact' END AS asset_class,
- CASE WHEN contains(lower(api), 'decrypt') THEN 'decryption' WHEN contains(lower(api), 'verify') THEN 'verification' WHEN contains(lower(api), 'sign') THEN 'signing' ELSE {_case('primitive', dims.OPERATIONS, "'unknown'")} END AS operation FROM m1),
-m3 AS (SELECT *, algorithm IN ('RSA', 'RSA-OAEP') AND coalesce(key_size < 2048, false) AS weak, algorithm = 'PBKDF2' AND coalesce(iterations > 0 AND iterations < 100000, false) AS lowc,
- coalesce(mode, '') = 'ECB' OR algorithm = 'ECB' AS ecb, coalesce(mode = 'CBC', false) AND algorithm IN ('AES', '3DES', 'DES', 'Cipher') AS cbc, algorithm IN {_in(dims.DEPRECATED)} AS old,
- api IN ('random.random', 'random.randint', 'random.choice') AS rnd FROM m2),
-m4 AS (SELECT *, CASE WHEN old THEN 'high' WHEN cbc THEN 'medium' WHEN ecb THEN 'critical' WHEN lowc THEN 'medium' WHEN weak AND key_size < 1024 THEN 'high' WHEN weak THEN 'medium'
- WHEN algorithm IN {_in(dims.RISK_HIGH_ALGORITHMS)} OR mode = 'ECB' THEN 'high' ELSE 'low' END AS r0 FROM m3),
-m AS (SELECT *, CASE WHEN rnd THEN 'high' WHEN literals > 0 AND r0 = 'low' THEN 'medium' ELSE r0 END AS risk,
- array_to_string([x FOR x IN [CASE WHEN weak THEN 'weak_key_size' END, CASE WHEN lowc THEN 'low_iteration_count' END, CASE WHEN ecb THEN 'ecb_mode_detected' END, CASE WHEN cbc THEN 'cbc_requires_authentication_review' END,
- CASE WHEN old THEN 'deprecated_algorithm' END, CASE WHEN literals > 0 THEN 'hardcoded_material' END, CASE WHEN rnd THEN 'weak_random_source' END] IF x IS NOT NULL], ',') AS tags,
- CAST(least(0.99, greatest(0.5, (CASE WHEN ecb THEN 0.98 WHEN lowc THEN 0.85 ELSE 0.8 END)::DOUBLE * ({_case('provider', dims.TRUST, dims.TRUST_OTHER)})::DOUBLE)) AS DOUBLE) AS confidence FROM m4)"""
-RULE = FULL + f""", hits AS (SELECT m.id, r.rule_id, r.priority, r.actionable, r.seq FROM m JOIN {dims.RULES_SQL} ON (len(r.algorithms) = 0 OR list_contains(r.algorithms, m.algorithm)) AND (len(r.apis) = 0 OR list_contains(r.apis, m.api))
- AND (len(r.modes) = 0 OR coalesce(list_contains(r.modes, m.mode), false)) AND (r.key_below IS NULL OR m.key_size < r.key_below) AND (r.iterations_below IS NULL OR m.iterations < r.iterations_below))"""
-_src = "[x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(w.replace('.', chr(92) + '.') for w in words.split())}') THEN '{n}' END" for n, words in dims.SOURCES.items()) + "] IF x IS NOT NULL]"
-_sink = "CASE " + " ".join(f"WHEN primitive IN {_in(w.split())} THEN '{n}'" for n, w in dims.SINKS.items()) + " END"
-SQL = {
-    "match_api": BASE + " SELECT id, rank, seq, api FROM hit",
-    "match_api_first_wins": BASE + " SELECT id, api, algorithm, primitive, provider FROM m0",
-    "unmatched_calls_anti": BASE + " SELECT name, count(*) AS n FROM c WHERE id NOT IN (SELECT id FROM hit) GROUP BY name",
-    "summary_grouping_sets": FULL + " SELECT risk, primitive, algorithm, provider, operation, count(*) AS n FROM m WHERE asset_class = 'primary_asset' GROUP BY GROUPING SETS ((risk), (primitive), (algorithm), (provider), (operation), ())",
-    "class_counts": FULL + " SELECT asset_class, primitive, count(*) AS n FROM m GROUP BY 1, 2",
-    "call_details": FULL + " SELECT id, mode, padding, digest, curve, key_size, iterations, literals, operation FROM m",
-    "risk_full": FULL + " SELECT id, risk, tags, round(confidence, 2) AS confidence FROM m",
-    "max_risk_fold": FULL + f" SELECT root, file, arg_max(risk, list_position({list(dims.LEVELS)}, risk)) AS risk, count(*) AS assets FROM m GROUP BY 1, 2",
-    "rule_match_v2": RULE + " SELECT id, rule_id FROM hits",
-    "rule_priority_sort": RULE + " SELECT id, string_agg(rule_id, ',' ORDER BY priority DESC, seq) AS rules FROM hits GROUP BY id",
-    "rule_group": RULE + " SELECT CASE WHEN priority >= 80 THEN 'critical' WHEN actionable THEN 'actionable' ELSE 'informational' END AS bucket, rule_id, count(*) AS n FROM hits GROUP BY 1, 2",
-    "source_label_classify": FULL + f" SELECT source, count(*) AS n FROM (SELECT unnest({_src}) AS source FROM m) GROUP BY 1",
-    "sink_first_match": FULL + f" SELECT primitive, {_sink} AS sink, count(*) AS n FROM m GROUP BY 1, 2",
-    "argument_roles": FULL + r""", a AS (SELECT api, unnest(range(len(args))) AS pos, args FROM m), b AS (SELECT api, pos, lower(args[pos + 1]) AS low FROM a)
-SELECT api, CAST(pos AS INTEGER) AS pos, CASE WHEN contains(low, 'salt') THEN 'salt' WHEN contains(low, 'nonce') THEN 'nonce' WHEN contains(low, 'iv') OR contains(low, 'modes.') THEN 'iv' WHEN regexp_matches(low, 'random|token_bytes|randbytes') THEN 'randomness'
-WHEN regexp_matches(low, 'data|payload|message|token|note') THEN 'data' WHEN regexp_matches(low, 'key|secret') THEN 'key' WHEN contains(low, 'password') THEN 'data' END AS role, count(*) AS n FROM b GROUP BY 1, 2, 3""",
-    "first_three_args": FULL + " SELECT id, array_to_string(args[1:3], ' | ') AS args FROM m",
-    "asset_id_hash": FULL + " SELECT id, 'crypto-' || substr(sha256(concat_ws('|', api, file, coalesce(CAST(line AS VARCHAR), 'None'), coalesce(function, ''), id)), 1, 16) AS asset_id FROM m",
-    "function_panel": FULL + " SELECT root, coalesce(function, 'module_level') AS function, count(*) AS crypto_calls, count(DISTINCT algorithm) AS algorithms, count(*) FILTER (risk IN ('high', 'critical')) AS high FROM m GROUP BY 1, 2",
-    "provider_components": FULL + " SELECT root, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, count(*) AS assets FROM m WHERE asset_class = 'primary_asset' GROUP BY 1",
-}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        match_api, match_api_first_wins, unmatched_calls_anti, normalized_algorithms, summary_grouping_sets, class_counts, call_details, argument_signals, flow_sources, risk_full, max_risk_fold, rule_match_v2, rule_match_v1,
+        summary_v1, rule_priority_sort, rule_group, source_label_classify, sink_first_match, argument_roles, argument_origins, usage_explanations, first_three_args, asset_id_hash, function_panel, provider_components,
+    )
+}

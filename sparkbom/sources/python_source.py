@@ -87,6 +87,20 @@ def parse(files: DataFrame) -> DataFrame:
     return spread(one, "root", "file").distinct().mapInPandas(run, ROWS)
 
 
+def calls(rows: DataFrame) -> DataFrame:
+    """Parsed calls in the form of call nodes."""
+    types = F.transform("literals", lambda x: x["py_type"]).alias("literal_types")
+    return rows.where("what = 'call'").select("root", "id", "name", "file", "line", "function", F.col("target").alias("resolved_name"), F.col("name").alias("callee"), "arguments", "keywords", types).dropDuplicates(["id"])
+
+
+def nodes(rows: DataFrame) -> DataFrame:
+    """Parsed functions and calls as graph nodes."""
+    p = "struct<parameters:array<string>,code:string,arguments:array<string>,keywords:map<string,string>,resolved_name:string,callee:string,literal_arguments:array<struct<py_type:string,repr:string>>>"
+    call = F.col("what") == "call"
+    properties = F.struct("parameters", "code", "arguments", "keywords", F.when(call, F.col("target")).alias("resolved_name"), F.when(call, F.col("name")).alias("callee"), F.col("literals").alias("literal_arguments")).cast(p)
+    return rows.where("what in ('function', 'call')").select("root", "id", F.col("what").alias("kind"), "name", "file", "line", "function", properties.alias("properties"))
+
+
 def parse_errors(files: DataFrame) -> DataFrame:
     """``(root, file)`` of the Python files that give no rows although they hold text."""
     py = files.where("content is not null and lower(file) like '%.py' and trim(content) <> ''").select("root", "file").distinct()

@@ -12,8 +12,9 @@ def write_documents(docs: DataFrame, path: str, column: str = "document") -> Non
 
 
 def write_dot(lines: DataFrame, path: str) -> None:
-    """Drawings per root: node lines before edge lines; each part file is a whole drawing of its share of a root."""
-    ordered = lines.repartition("root").sortWithinPartitions("root", "part", "line")
+    """One folder per root whose files, read in the order of their names, are one drawing. Lines are range-partitioned by root and part,
+    so that a large repository fills many files."""
+    ordered = lines.repartitionByRange("root", "part", "line").sortWithinPartitions("root", "part", "line")
     ordered.select("root", F.col("line").alias("value")).write.partitionBy("root").mode("overwrite").text(path)
 
 

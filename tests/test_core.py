@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 from sparkbom.operators import documents as D
 from sparkbom.operators import graph as G
 from sparkbom.operators import match as M
+from sparkbom.operators import signals as S
 from sparkbom.plans import registry
 from sparkbom.sources import python_source as P
 
@@ -30,9 +31,10 @@ def test_parser_rows(spark):
 
 
 def test_match_and_risk(spark):
-    rows = parsed(spark).where("what = 'call'")
-    calls = rows.selectExpr("root", "id", "name", "file", "line", "function", "target as resolved_name", "name as callee", "arguments", "keywords")
-    m = {r.api: r for r in M.described(M.with_arguments(M.first_matches(calls))).collect()}
+    rows = parsed(spark)
+    nodes = P.nodes(rows)
+    edges = P.containment(rows)
+    m = {r.api: r for r in S.assets(M.matched(nodes), nodes, edges).collect()}
     assert m["AES.new"].risk == "critical" and m["AES.new"].mode == "ECB" and m["hashlib.md5"].risk == "high"
 
 
@@ -43,9 +45,9 @@ def test_prune_keeps_zero_and_is_idempotent():
 
 
 def test_longest_chain_and_reach(spark):
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("c", "d"), ("d", "c")], "caller string, callee string")
-    got = {r.fn: r.chain for r in G.longest_chains(pairs).collect()}
-    assert got["d"] == ["a", "b", "c", "d"] and got["a"] == ["a"]
+    pairs = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "x", "c"), ("r", "c", "d"), ("r", "d", "c"), ("s", "q", "a")], "root string, caller string, callee string")
+    got = {(r.root, r.fn): r.chain for r in G.longest_chains(pairs).collect()}
+    assert got["r", "d"] == ["a", "b", "c", "d"] and got["r", "a"] == ["a"] and got["s", "a"] == ["q", "a"]
     edges = spark.createDataFrame([("1", "2", "dfg"), ("3", "2", "DFG "), ("3", "4", "CALLS"), (None, "1", "DFG")], "source string, target string, kind string")
     assert {tuple(r) for r in G.reach(edges, spark.createDataFrame([("1",)], "id string")).collect()} == {("1", "1", 0), ("1", "2", 1), ("1", "3", 2)}
 
@@ -55,7 +57,13 @@ def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["match_api_first_wins", "degree", "rule_match_v2", "p2_ranges"])
+def test_the_latest_row_wins(spark):
+    rows = [("r", "1", "call", "old", "2025-01-01 00:00:00"), ("r", "1", "call", "new", "2025-03-01 00:00:00"), ("r", "1", "call", "mid", "2025-02-01 00:00:00"), ("r", "2", "call", "only", None)]
+    nodes = spark.createDataFrame(rows, "root string, id string, kind string, name string, at string").selectExpr("root", "id", "kind", "name", "cast(at as timestamp_ntz) as loaded_at")
+    assert {(r.id, r["name"]) for r in G.nodes_of(nodes).collect()} == {("1", "new"), ("2", "only")}
+
+
+@pytest.mark.parametrize("name", ["match_api_first_wins", "degree", "rule_match_v2", "p2_ranges", "normalized_algorithms", "argument_signals", "flow_sources", "risk_full", "rule_match_v1", "graph_context", "longest_call_chain", "boundary_scan"])
 def test_against_sql(spark, name):
     import os
 
