@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sparkbom.operators import documents, graph, match, signals
-from sparkbom.session import cut, ship
+from sparkbom.session import cut, release
 from sparkbom.sources import python_source, sinks
 
 
@@ -19,7 +19,6 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--out", required=True)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("sparkbom").getOrCreate()
-    ship(spark)
     rows = cut(python_source.parse(python_source.source_tree(spark, args.source)), "rows")
     nodes = cut(python_source.nodes(rows), "nodes")
     edges = python_source.containment(rows).unionByName(graph.resolve_calls(nodes).withColumn("kind", F.lit("CALLS")))
@@ -32,6 +31,7 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_dot(graph.dot_lines(nodes, edges), args.out)
     else:
         signals.assets(cut(match.matched(nodes), "matched"), nodes, edges).groupBy("root", "algorithm", "risk").agg(F.count("*").alias("assets")).write.mode("overwrite").parquet(args.out)
+    release(spark)
     return 0
 
 

@@ -138,6 +138,13 @@ def reach(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...] = ("DFG",
     return seen
 
 
+def reaching_nodes(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """``(start, id, depth, kind, name)``: what :func:`reach` found, but for the starts themselves; kind and name are null where the node
+    is missing."""
+    n = nodes_of(nodes.select("id", "kind", "name", *(c for c in nodes.columns if c == "loaded_at"))).select("id", "kind", "name")
+    return reached.where("depth > 0").join(n, "id", "left").select("start", "id", "depth", "kind", "name")
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ``ids``: two semi joins."""
     return edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")

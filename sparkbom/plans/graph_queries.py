@@ -57,6 +57,12 @@ def bfs_min_depth(spark: SparkSession, sf: str) -> DataFrame:
     return G.reach(table(spark, sf, "edges"), table(spark, sf, "findings").where("node_id is not null").select(F.col("node_id").alias("id")))
 
 
+def reaching_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """How many nodes of which kind reach the nodes of findings over data flow, by distance."""
+    reached = bfs_min_depth(spark, sf)
+    return G.reaching_nodes(table(spark, sf, "nodes"), reached).groupBy("kind", "depth").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
+
+
 def induced_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     """Edges between nodes of one file that has findings."""
     f = table(spark, sf, "findings").select("root", "file").distinct()
@@ -72,7 +78,7 @@ def dot_export(spark: SparkSession, sf: str) -> DataFrame:
     return G.dot_lines(table(spark, sf, "nodes"), table(spark, sf, "edges")).select("root", "part", "line")
 
 
-QUERIES = {f.__name__: f for f in (graph_summary_node_kinds, graph_summary_edge_kinds, incoming_edges, outgoing_edges, degree, neighbor_summary, call_graph, callers_and_callees, synthetic_calls, longest_call_chain, bfs_min_depth, induced_subgraph, circular_layout, dot_export)}
+QUERIES = {f.__name__: f for f in (graph_summary_node_kinds, graph_summary_edge_kinds, incoming_edges, outgoing_edges, degree, neighbor_summary, call_graph, callers_and_callees, synthetic_calls, longest_call_chain, bfs_min_depth, reaching_sources, induced_subgraph, circular_layout, dot_export)}
 
 N = "n AS (SELECT DISTINCT root, id, lower(trim(kind)) AS kind, name, file, function, properties FROM nodes WHERE id IS NOT NULL)"
 CG = f"""{N}, g AS (SELECT DISTINCT a.root, coalesce(a.function, a.name) AS caller, coalesce(b.function, b.name) AS callee FROM edges e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target AND b.root = a.root
@@ -98,6 +104,11 @@ WHERE coalesce(a.id, b.id) <> c.id""",
 u AS (SELECT id, nxt FROM e UNION SELECT nxt, id FROM e),
 w AS (SELECT DISTINCT node_id AS start, node_id AS id, 0 AS depth FROM findings WHERE node_id IS NOT NULL UNION SELECT w.start, u.nxt, w.depth + 1 FROM w JOIN u ON u.id = w.id WHERE w.depth < 24)
 SELECT start, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""",
+    "reaching_sources": f"""WITH RECURSIVE {N}, e AS (SELECT DISTINCT source AS id, target AS nxt FROM edges WHERE upper(trim(kind)) IN ('DFG', 'DATA_FLOW', 'REACHES') AND source IS NOT NULL AND target IS NOT NULL),
+u AS (SELECT id, nxt FROM e UNION SELECT nxt, id FROM e),
+w AS (SELECT DISTINCT node_id AS start, node_id AS id, 0 AS depth FROM findings WHERE node_id IS NOT NULL UNION SELECT w.start, u.nxt, w.depth + 1 FROM w JOIN u ON u.id = w.id WHERE w.depth < 24),
+r AS (SELECT start, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2)
+SELECT n.kind, r.depth, count(*) AS n, count(DISTINCT n.name) AS names FROM r LEFT JOIN (SELECT DISTINCT id, kind, name FROM n) n ON n.id = r.id WHERE r.depth > 0 GROUP BY 1, 2""",
     "longest_call_chain": f"""WITH RECURSIVE {CG}, p AS (SELECT root, fn, [fn] AS path FROM (SELECT root, caller AS fn FROM g UNION SELECT root, callee FROM g)
 UNION ALL SELECT p.root, p.fn, list_append(p.path, g.caller) FROM p JOIN g ON g.root = p.root AND g.callee = p.path[-1] WHERE NOT list_contains(p.path, g.caller) AND len(p.path) < 24),
 b AS (SELECT root, fn, path, row_number() OVER (PARTITION BY root, fn ORDER BY len(path) DESC, path) AS r FROM p)

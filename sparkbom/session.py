@@ -37,26 +37,40 @@ def cut(df: DataFrame, name: str = "step", *by: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder, one folder per value of ``by``, and reads it back: the plan starts anew from
     files that outlive any executor, and the result is computed once however often it is used."""
     spark = df.sparkSession
+    ship(spark)
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    spark.sparkContext._cut_paths = [*getattr(spark.sparkContext, "_cut_paths", []), path]
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Removes a table that :func:`cut` wrote, once nothing reads it any more."""
     path = getattr(df, "_shared_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that :func:`cut` wrote in this session. Results that have not been read to their end need them: call this
+    when a job is done."""
+    for path in getattr(spark.sparkContext, "_cut_paths", []):
+        _delete(spark, path)
+    spark.sparkContext._cut_paths = []
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitions rows for steps whose work per byte is high: at least four tasks per core, and no fewer than
     ``spark.sql.shuffle.partitions``, which grows with the data."""
     spark = df.sparkSession
+    ship(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
 

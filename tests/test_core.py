@@ -57,6 +57,26 @@ def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_tables_are_released_and_streams_go_on(spark, tmp_path):
+    import os
+
+    from sparkbom import session
+    from sparkbom.streaming import incremental as I
+
+    one = session.cut(spark.range(3).toDF("x"), "kept")
+    assert one.count() == 3 and os.path.isdir(one._shared_path.removeprefix("file:"))
+    session.release(spark)
+    assert not os.path.exists(one._shared_path.removeprefix("file:"))
+    files = "file_id long, root string, file string, content string"
+    add = lambda rows: spark.createDataFrame(rows, files).write.mode("append").parquet(f"{tmp_path}/source_files.parquet")
+    add([(1, "r", "a.py", "x"), (1, "r", "a.py", "x"), (2, "r", None, "y"), (3, "r", "c.py", None)])
+    versions = lambda: sorted((r.root, r.file or "", r.sha256[:4]) for r in I.scan_stream(spark, str(tmp_path), base=f"{tmp_path}/state").collect())
+    first = versions()
+    assert len(first) == 2
+    add([(1, "r", "a.py", "x"), (4, "r", "a.py", "z")])
+    assert len(versions()) == 3 and set(first) < set(versions())
+
+
 def test_the_latest_row_wins(spark):
     rows = [("r", "1", "call", "old", "2025-01-01 00:00:00"), ("r", "1", "call", "new", "2025-03-01 00:00:00"), ("r", "1", "call", "mid", "2025-02-01 00:00:00"), ("r", "2", "call", "only", None)]
     nodes = spark.createDataFrame(rows, "root string, id string, kind string, name string, at string").selectExpr("root", "id", "kind", "name", "cast(at as timestamp_ntz) as loaded_at")
