@@ -1,17 +1,16 @@
-"""All queries of this subpackage."""
+"""All queries of this subpackage. Its modules are imported here at once, so that a missing package keeps all of it out and nothing else."""
 
 from __future__ import annotations
 
-import importlib
-
+from sparkbom.llm import queries_leakage, queries_mixing, queries_origin, queries_secrets, queries_spam, queries_syntax
 from sparkbom.session import shipped
 
-MODULES = [f"sparkbom.llm.queries_{m}" for m in ("syntax", "spam", "leakage", "origin", "secrets", "mixing")]
+MODULES = (queries_syntax, queries_spam, queries_leakage, queries_origin, queries_secrets, queries_mixing)
 
 
 def queries() -> dict:
-    return {k: shipped(f) for m in MODULES for k, f in importlib.import_module(m).QUERIES.items()}
+    return {k: shipped(f) for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in importlib.import_module(m).SQL.items()}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
