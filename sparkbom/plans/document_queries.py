@@ -130,7 +130,7 @@ def finding_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def findings_to_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Findings against their nodes; lost nodes leave nulls."""
-    n = table(spark, sf, "nodes").where("id is not null").dropDuplicates(["id"]).select(F.col("id").alias("node_id"), F.lower(F.trim("kind")).alias("kind"))
+    n = G.nodes_of(table(spark, sf, "nodes").select("id", "kind", "loaded_at")).select(F.col("id").alias("node_id"), "kind")
     f = table(spark, sf, "findings").dropDuplicates(["finding_id"])
     return f.join(n, "node_id", "left").groupBy("api_name", "kind").agg(F.count("*").alias("n"))
 

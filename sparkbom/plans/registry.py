@@ -7,7 +7,7 @@ import importlib
 from sparkbom.session import shipped
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> oracle).
-MODULES = [f"sparkbom.plans.{m}" for m in ("problems", "graph_queries", "match_queries", "document_queries")]
+MODULES = [f"sparkbom.plans.{m}" for m in ("problems", "graph_queries", "match_queries", "document_queries", "view_queries")]
 
 
 def queries() -> dict:
