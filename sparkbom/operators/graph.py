@@ -25,9 +25,15 @@ def latest(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*").select(*rows.columns)
 
 
-def nodes_of(nodes: DataFrame) -> DataFrame:
-    """One row per node id."""
-    return latest(nodes.where("id is not null")).withColumn("kind", kind())
+def nodes_of(nodes: DataFrame, *columns: str) -> DataFrame:
+    """One row per node id. With ``columns`` only these and the id pass the exchange; kind is among them if it is named."""
+    rows = nodes.where("id is not null")
+    if columns:
+        when = ["loaded_at"] if "loaded_at" in nodes.columns else []
+        rows = rows.select("id", *(c for c in columns if c != "id"), *when)
+    out = latest(rows)
+    out = out.drop("loaded_at") if columns else out
+    return out.withColumn("kind", kind()) if "kind" in out.columns else out
 
 
 def calls_of(nodes: DataFrame) -> DataFrame:
@@ -59,13 +65,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each edge with its target's kind and name; both null where the target is missing."""
-    n = nodes_of(nodes).select(F.col("id").alias("target"), F.col("kind").alias("target_kind"), F.col("name").alias("target_name"))
+    n = nodes_of(nodes, "kind", "name").select(F.col("id").alias("target"), F.col("kind").alias("target_kind"), F.col("name").alias("target_name"))
     return edges.where("target is not null").join(n, "target", "left").select("source", "target", F.upper(F.trim("kind")).alias("kind"), "target_kind", "target_name")
 
 
 def call_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(root, caller, callee)`` by name: distinct CALLS edges both of whose ends are found in one repository and named."""
-    n = nodes_of(nodes).where("name is not null").select("root", "id", F.coalesce("function", "name").alias("fn"))
+    n = nodes_of(nodes, "root", "name", "function").where("name is not null").select("root", "id", F.coalesce("function", "name").alias("fn"))
     e = edges.where(F.upper(F.trim("kind")) == "CALLS").select("source", "target").distinct()
     source = n.select("root", F.col("id").alias("source"), F.col("fn").alias("caller"))
     target = n.select(F.col("root").alias("to"), F.col("id").alias("target"), F.col("fn").alias("callee"))
@@ -75,7 +81,7 @@ def call_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def resolve_calls(nodes: DataFrame) -> DataFrame:
     """Synthetic call edges ``(source, target)``: a call's full name, else its last part, names a function of the same root;
     of equal names the last by id counts. Two hash joins; no self edges; distinct."""
-    f = nodes_of(nodes.select("root", "id", "kind", "name", *(c for c in nodes.columns if c == "loaded_at"))).where("kind = 'function' and name is not null").select("root", "name", "id")
+    f = nodes_of(nodes, "root", "kind", "name").where("kind = 'function' and name is not null").select("root", "name", "id")
     short = F.substring_index("name", ".", -1)
     full_of = f.groupBy("root", "name").agg(F.max("id").alias("full_id"))
     short_of = f.groupBy("root", short.alias("short")).agg(F.max("id").alias("short_id"))
@@ -141,7 +147,7 @@ def reach(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...] = ("DFG",
 def reaching_nodes(nodes: DataFrame, reached: DataFrame) -> DataFrame:
     """``(start, id, depth, kind, name)``: what :func:`reach` found, but for the starts themselves; kind and name are null where the node
     is missing."""
-    n = nodes_of(nodes.select("id", "kind", "name", *(c for c in nodes.columns if c == "loaded_at"))).select("id", "kind", "name")
+    n = nodes_of(nodes, "kind", "name")
     return reached.where("depth > 0").join(n, "id", "left").select("start", "id", "depth", "kind", "name")
 
 
@@ -153,7 +159,7 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def first_nodes(nodes: DataFrame, n: int) -> DataFrame:
     """The first ``n`` nodes of each root by id, for drawings."""
     w = Window.partitionBy("root").orderBy("id")
-    return nodes_of(nodes).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
+    return nodes_of(nodes, "root").withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
 
 
 def layout(first: DataFrame) -> DataFrame:
@@ -167,7 +173,7 @@ def layout(first: DataFrame) -> DataFrame:
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(root, part, line)``: a drawing per root in the DOT language: a head (part 0), nodes (1), edges (2) and a foot (3)."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    n = nodes_of(nodes).select("root", F.lit(1).alias("part"), F.concat(F.lit('  "'), esc(F.col("id")), F.lit('" [label="'), esc(F.coalesce("name", "kind")), F.lit('"];')).alias("line"))
+    n = nodes_of(nodes, "root", "name", "kind").select("root", F.lit(1).alias("part"), F.concat(F.lit('  "'), esc(F.col("id")), F.lit('" [label="'), esc(F.coalesce("name", "kind")), F.lit('"];')).alias("line"))
     e = edges.where("source is not null and target is not null").select("root", F.lit(2).alias("part"), F.concat(F.lit('  "'), esc(F.col("source")), F.lit('" -> "'), esc(F.col("target")), F.lit('" [label="'), esc(F.upper(F.trim("kind"))), F.lit('"];')).alias("line"))
     ends = n.select("root").union(e.select("root")).distinct()
     frame = lambda part, line: ends.select("root", F.lit(part).alias("part"), F.lit(line).alias("line"))

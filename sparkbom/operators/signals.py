@@ -53,8 +53,9 @@ def functions(nodes: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.coalesce("properties.code", F.lit("")), "\n"), lambda x: x.rlike(r"^\s*[A-Za-z_]\w*(?:, [A-Za-z_]\w*)* = "))
     names = lambda x: F.split(F.trim(F.substring_index(x, " = ", 1)), ", ")
     pairs = F.flatten(F.transform(lines, lambda x: F.transform(names(x), lambda n: F.struct(n.alias("name"), F.regexp_replace(x, r"^[^=]* = ", "").alias("value")))))
-    f = nodes_of(nodes).where("kind = 'function' and name is not null")
-    row = F.struct("id", F.col("properties.parameters").alias("parameters"), pairs.alias("assignments"))
+    f = nodes.where(kind() == "function").withColumns({"parameters": F.col("properties.parameters"), "assignments": pairs})  # shorter than the code
+    f = nodes_of(f, "root", "name", "parameters", "assignments").where("name is not null")
+    row = F.struct("id", "parameters", "assignments")
     return f.groupBy("root", F.col("name").alias("function")).agg(F.max_by(row, "id").alias("r")).select("root", "function", "r.parameters", "r.assignments")
 
 
@@ -188,7 +189,8 @@ def classes_of(mask: Column) -> Column:
 def scope_masks(m: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, scope)``: classes whose words stand in the function's name or in the code of any node with an edge into the call. The code
     is looked through once per node, not once per edge."""
-    coded = nodes_of(nodes).where("properties.code is not null").select(F.col("id").alias("source"), F.lower("properties.code").alias("low")).select("source", source_mask(F.col("low")).alias("mask")).where("mask > 0")
+    coded = nodes.withColumn("low", F.lower("properties.code")).withColumn("mask", source_mask(F.col("low")))
+    coded = nodes_of(coded, "mask").where("mask > 0").withColumnRenamed("id", "source")
     into = edges.where("source is not null and target is not null").select("source", F.col("target").alias("id")).distinct()
     near = into.join(m.select("id"), "id", "left_semi").join(coded, "source").groupBy("id").agg(F.bit_or("mask").alias("near"))
     own = m.select("id", F.lower(F.coalesce("function", F.lit(""))).alias("low")).select("id", source_mask(F.col("low")).alias("own"))

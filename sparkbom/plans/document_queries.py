@@ -119,7 +119,7 @@ def python_matches(spark: SparkSession, sf: str) -> DataFrame:
 def graph_documents(spark: SparkSession, sf: str) -> DataFrame:
     from sparkbom.operators.graph import nodes_of
 
-    return J.graph_documents(nodes_of(table(spark, sf, "nodes")), table(spark, sf, "edges").where("source is not null")).select("root", "file", F.length("document").alias("chars"))
+    return J.graph_documents(nodes_of(table(spark, sf, "nodes"), "root", "file", "kind", "name", "line", "function"), table(spark, sf, "edges").where("source is not null")).select("root", "file", F.length("document").alias("chars"))
 
 
 def finding_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +130,7 @@ def finding_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def findings_to_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Findings against their nodes; lost nodes leave nulls."""
-    n = G.nodes_of(table(spark, sf, "nodes").select("id", "kind", "loaded_at")).select(F.col("id").alias("node_id"), "kind")
+    n = G.nodes_of(table(spark, sf, "nodes"), "kind").select(F.col("id").alias("node_id"), "kind")
     f = table(spark, sf, "findings").dropDuplicates(["finding_id"])
     return f.join(n, "node_id", "left").groupBy("api_name", "kind").agg(F.count("*").alias("n"))
 

@@ -66,7 +66,7 @@ def reaching_sources(spark: SparkSession, sf: str) -> DataFrame:
 def induced_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     """Edges between nodes of one file that has findings."""
     f = table(spark, sf, "findings").select("root", "file").distinct()
-    ids = G.nodes_of(table(spark, sf, "nodes")).join(f, ["root", "file"], "left_semi").select("id")
+    ids = G.nodes_of(table(spark, sf, "nodes"), "root", "file").join(f, ["root", "file"], "left_semi").select("id")
     return G.induced(table(spark, sf, "edges").select("source", "target", F.upper(F.trim("kind")).alias("kind")), ids).groupBy("kind").agg(F.count("*").alias("n"))
 
 

@@ -62,7 +62,7 @@ def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def function_subgraphs(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of each function (within it, or the function itself) and the edges between them."""
-    n = cut(G.nodes_of(table(spark, sf, "nodes").select("root", "id", "kind", "name", "function", "loaded_at")).select("root", "id", F.coalesce("function", F.when(F.col("kind") == "function", F.col("name"))).alias("fn")).where("fn is not null"), "nodes")
+    n = cut(G.nodes_of(table(spark, sf, "nodes"), "root", "kind", "name", "function").select("root", "id", F.coalesce("function", F.when(F.col("kind") == "function", F.col("name"))).alias("fn")).where("fn is not null"), "nodes")
     e = table(spark, sf, "edges").select("source", "target")
     inner = e.join(n.withColumnRenamed("id", "source"), "source").join(n.select(F.col("id").alias("target"), F.col("root").alias("r"), F.col("fn").alias("f")), "target").where("root = r and fn = f")
     return n.groupBy("root", "fn").agg(F.count("*").alias("nodes")).join(inner.groupBy("root", "fn").agg(F.count("*").alias("edges")), ["root", "fn"], "left").select("root", "fn", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
