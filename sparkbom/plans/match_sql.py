@@ -195,3 +195,59 @@ SQL = {
     "function_panel": RISK + " SELECT root, coalesce(function, 'module_level') AS function, count(*) AS crypto_calls, count(DISTINCT algorithm) AS algorithms, count(*) FILTER (risk IN ('high', 'critical')) AS high FROM r GROUP BY 1, 2",
     "provider_components": FULL + " SELECT root, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, count(*) AS assets FROM m WHERE asset_class = 'primary_asset' GROUP BY 1",
 }
+
+_CHAINS = """nn AS (SELECT DISTINCT root, id, coalesce(function, name) AS fn FROM nodes WHERE id IS NOT NULL AND name IS NOT NULL),
+g AS (SELECT DISTINCT a.root, a.fn AS caller, b.fn AS callee FROM edges e JOIN nn a ON a.id = e.source JOIN nn b ON b.id = e.target AND b.root = a.root WHERE upper(trim(e.kind)) = 'CALLS' AND a.fn <> b.fn),
+up AS (SELECT root, fn, [fn] AS path FROM (SELECT root, caller AS fn FROM g UNION SELECT root, callee FROM g)
+ UNION ALL SELECT up.root, up.fn, list_append(up.path, g.caller) FROM up JOIN g ON g.root = up.root AND g.callee = up.path[-1] WHERE NOT list_contains(up.path, g.caller) AND len(up.path) < 24),
+ch AS (SELECT root, fn, path FROM up QUALIFY row_number() OVER (PARTITION BY root, fn ORDER BY len(path) DESC, path) = 1),
+x AS (SELECT m.*, lower(coalesce(m.function, '')) AS fun, lower(api) AS lapi, lower(concat_ws(' ', coalesce(m.function, ''), coalesce(file, ''), coalesce(array_to_string(ch.path, ' '), m.function, ''), api, algorithm, primitive)) AS around,
+ primitive IN ('asymmetric_key_generation', 'symmetric_key_generation') AS made FROM m LEFT JOIN ch ON ch.root = m.root AND ch.fn = m.function)"""
+_CERT = _any("around", "certificate cert x509 csr")
+_SER = "primitive = 'key_serialization' OR contains(lapi, 'serialization.')"
+_BUILD = "CASE WHEN contains(lapi, 'builder') THEN 'build_certificate' ELSE 'manage_certificate_lifecycle' END"
+_REQ = "primitive IN ('certificate_request', 'certificate_attribute', 'certificate_extension')"
+#: (condition, value, method, confidence, evidence), in order
+_CONTEXT = [
+    (_CERT, f"CASE WHEN {_any('around', 'generate builder self_signed csr')} THEN 'certificate_generation' ELSE 'certificate_management' END", "multi_signal_context", 0.92, "'Certificate/X.509 signal from file, function, API, or algorithm'"),
+    (f"(made OR primitive = 'key_derivation') AND {_any('around', 'key derive kdf generate')}", "'key_management'", "primitive_and_context", 0.86, "'Key-management primitive plus key/derive/generate context'"),
+    (_any("fun", "auth login password hash"), "'authentication_flow'", "function_name_pattern", 0.85, "'Function name contains authentication keyword'"),
+    (_any("fun", "encrypt cipher encode"), "'data_protection'", "function_name_pattern", 0.9, "'Function name contains encryption keyword'"),
+    (_any("fun", "sign verify signature"), "CASE WHEN contains(fun, 'verify') THEN 'signature_verification' ELSE 'signature_generation' END", "function_name_pattern", 0.9, "'Function name contains signature keyword'"),
+    (_any("fun", "random generate seed nonce"), "'random_number_generation'", "function_name_pattern", 0.85, "'Function name contains RNG keyword'"),
+    ("primitive IN ('symmetric_encryption', 'asymmetric_encryption', 'key_derivation', 'message_authentication', 'random_generation', 'hash', 'certificate_management')",
+     "CASE primitive WHEN 'symmetric_encryption' THEN 'data_protection' WHEN 'asymmetric_encryption' THEN 'key_exchange' WHEN 'key_derivation' THEN 'key_management' WHEN 'message_authentication' THEN 'integrity_verification' WHEN 'random_generation' THEN 'random_material_generation' WHEN 'hash' THEN 'hashing' ELSE 'certificate_management' END",
+     "primitive_classification", 0.7, "'Derived from primitive type: ' || primitive"),
+    ("true", "'general_cryptographic_operation'", "fallback", 0.5, "'No specific pattern detected'"),
+]
+_INTENT = [
+    ("primitive = 'certificate_management' OR contains(lapi, 'certificatebuilder')", _BUILD, "api_and_primitive", 0.92, "'X.509 certificate builder or certificate management primitive'"),
+    (_REQ, "'manage_certificate_lifecycle'", "primitive_type", 0.86, "'Certificate lifecycle support primitive'"),
+    (_SER, "'key_material_serialization'", "api_and_primitive", 0.9, "'Key or certificate serialization API'"),
+    (f"made AND {_CERT}", "'create_key_material'", "primitive_and_certificate_context", 0.93, "'Key generation occurs in certificate-related context'"),
+    ("algorithm IN ('PBKDF2', 'Scrypt', 'Argon2', 'bcrypt')", "'derive_password_key'", "algorithm_purpose", 0.95, "algorithm || ' is designed for password derivation'"),
+    ("algorithm IN ('HKDF', 'KDF')", "'derive_key_material'", "algorithm_purpose", 0.9, "'General-purpose key derivation function'"),
+    ("primitive = 'symmetric_encryption'", "'encrypt_data'", "primitive_type", 0.85, "'Symmetric encryption primitive'"),
+    ("made", "'create_key_material'", "primitive_type", 0.9, "'Key generation primitive'"),
+    (f"primitive = 'random_generation' AND {_any('lower(text)', 'salt iv')}", "'create_iv_or_salt'", "argument_analysis", 0.8, "'Random generation primitive; Arguments suggest salt/IV generation'"),
+    ("primitive = 'random_generation'", "'create_random_material'", "primitive_type", 0.8, "'Random generation primitive'"),
+    ("primitive = 'message_authentication'", "'verify_data_integrity'", "primitive_type", 0.85, "'Message authentication primitive (HMAC)'"),
+    ("primitive = 'hash'", "'compute_hash_digest'", "primitive_type", 0.8, "'Hash function primitive'"),
+    ("true", "'unspecified_cryptographic_operation'", "fallback", 0.5, "'Unable to determine specific intent'"),
+]
+
+
+def _cases(rows: list[tuple], at: int) -> str:
+    value = lambda x: f"'{x}'" if at == 2 else f"{x}::DOUBLE" if at == 3 else x
+    return "CASE " + " ".join(f"WHEN {r[0]} THEN {value(r[at])}" for r in rows) + " END"
+
+
+SQL["usage_explanations"] = (
+    FULL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", "
+    + _CHAINS
+    + f""" SELECT id, {_cases(_CONTEXT, 1)} AS context, {_cases(_CONTEXT, 2)} AS context_method, {_cases(_CONTEXT, 3)} AS context_confidence, {_cases(_INTENT, 1)} AS intent, {_cases(_INTENT, 2)} AS intent_method, {_cases(_INTENT, 3)} AS intent_confidence,
+ {_cases(_CONTEXT, 4)} || '; ' || {_cases(_INTENT, 4)} AS evidence, CASE WHEN primitive = 'certificate_management' OR contains(lapi, 'certificatebuilder') THEN {_BUILD} WHEN {_REQ} THEN 'manage_certificate_lifecycle' WHEN {_SER} THEN 'key_material_serialization' WHEN made THEN 'create_key_material'
+ WHEN lower(algorithm) IN ('pbkdf2', 'scrypt', 'argon2', 'bcrypt') THEN 'derive_password_key' WHEN contains(lower(algorithm), 'pbkdf') OR contains(lower(algorithm), 'kdf') OR primitive = 'key_derivation' THEN 'derive_key_material' WHEN primitive IN ('symmetric_encryption', 'authenticated_encryption', 'asymmetric_encryption') THEN 'encrypt_data'
+ WHEN primitive = 'random_generation' THEN 'create_random_material' WHEN primitive = 'hash' THEN 'compute_hash_digest' WHEN primitive = 'message_authentication' THEN 'verify_integrity' ELSE 'general_cryptographic_operation' END AS stated FROM x"""
+)
