@@ -5,7 +5,7 @@ Trees may be of any depth, so nothing here works level by level. All passes doub
 * *up*: each node keeps a pointer to its 2^k-th ancestor and the size of its subtree down to 2^k levels; a node hands its
   size to the ancestor it points at, so sizes grow as ``S(v) += sum of S(u) over u that point at v``;
 * *siblings*: prefix sums of subtree sizes give each child its offset within its parent;
-* *down*: offsets add up along the pointers to preorder numbers.
+* *down*: offsets add up along the pointers to preorder numbers, and steps to depths; where the pointers end are the roots.
 
 A tree of depth d takes log2(d) rounds, and only nodes deeper than 2^k are looked up in round k. A node that is still
 unprocessed when a round settles no further node has no root: it lies on a cycle or hangs off one.
@@ -101,10 +101,10 @@ def hierarchy(links: DataFrame, paths: bool = False, ranges: bool = True) -> Dat
     stuck = state.where(F.col("dist") == reach).select("nid") if n else None
 
     rooted = state.where(F.col("dist") < reach) if n else state
-    tree = rooted.join(start.select("nid", "pid"), "nid").select("nid", "pid", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "size")
+    tree = rooted.join(start.select("nid", "pid"), "nid")
     if not (ranges or paths):
-        return _named(tree, stuck, start, ids, ["size"], [])
-    tree = cut(tree, "tree")
+        return _named(tree.select("nid", "pid", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "size"), stuck, start, ids, ["size"], [])
+    tree = cut(tree.select("nid", "pid", "size"), "tree")
 
     # siblings: offsets by prefix sums, in two steps so that the children of one parent need not share a task
     part = F.shiftright("nid", 33)
@@ -116,15 +116,16 @@ def hierarchy(links: DataFrame, paths: bool = False, ranges: bool = True) -> Dat
     offsets = kids.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0))).join(sums, ["pid", "part"])
     offsets = offsets.select("nid", (F.col("base") + F.col("at") + 1).alias("off"))
 
-    # down: preorder numbers, and paths where wanted, along the same pointers
-    down = tree.select("nid", F.coalesce("pid", "nid").alias("ptr"), F.least("depth", F.lit(1)).alias("dist")).join(offsets, "nid", "left")
+    # down: roots, depths, preorder numbers, and paths where wanted, along the same pointers
+    down = tree.select("nid", F.coalesce("pid", "nid").alias("ptr"), F.when(F.col("pid").isNull(), 0).otherwise(1).cast("long").alias("dist")).join(offsets, "nid", "left")
     down = down.withColumn("off", F.coalesce("off", F.lit(0)))
     if paths:
         down = down.join(ids, "nid").select("nid", "ptr", "dist", "off", F.array("id").alias("path"))
     down = cut(down, "down")
-    depths, reach = tree.agg(F.max("depth")).first()[0] or 0, 1
+    # the way up ended where no node with a root was as deep as its last reach
+    depths, reach = reach, 1
     keep = ["path"] if paths else []
-    while reach <= depths:
+    while reach < depths:
         active = down.where(F.col("dist") == reach)
         to = down.select(F.col("nid").alias("ptr"), F.col("ptr").alias("far"), F.col("dist").alias("add"), F.col("off").alias("up"), *(F.col(c).alias("head") for c in keep))
         moved = active.join(to, "ptr").select(
@@ -135,7 +136,8 @@ def hierarchy(links: DataFrame, paths: bool = False, ranges: bool = True) -> Dat
         down = new
         reach *= 2
 
-    out = tree.join(down.select("nid", F.col("off").alias("first"), *keep), "nid").withColumn("last", F.col("first") + F.col("size") - 1)
+    down = down.select("nid", F.col("ptr").alias("root"), F.col("dist").alias("depth"), F.col("off").alias("first"), *keep)
+    out = tree.join(down, "nid").withColumn("last", F.col("first") + F.col("size") - 1)
     return _named(out, stuck, start, ids, ["size", "first", "last"], keep)
 
 

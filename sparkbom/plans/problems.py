@@ -11,7 +11,8 @@ from sparkbom.session import cut, table
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return H.hierarchy(H.containment_links(table(spark, sf, "edges")), ranges=False).select("node_id", "root_id", "depth")
+    """Root and depth of every node from the whole method: sizes upward, offsets of siblings, and the way down from the roots."""
+    return H.hierarchy(H.containment_links(table(spark, sf, "edges"))).select("node_id", "root_id", "depth")
 
 
 def p2_ranges(spark: SparkSession, sf: str) -> DataFrame:

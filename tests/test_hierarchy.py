@@ -73,3 +73,15 @@ def test_empty_nulls_and_kinds(spark):
 def test_only_cycles(spark):
     got = run(spark, [("b", "a"), ("a", "b")], False)
     assert {(k, r.depth, r.root_id) for k, r in got.items()} == {("a", -1, "a"), ("b", -1, "a")}
+
+
+def test_p2_found_goes_up_and_down(spark, tmp_path):
+    from sparkbom.plans.problems import p2_found
+
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(max(0, i - 5), i)}", f"n{i}") for i in range(1, 90)] + [("c1", "c2"), ("c2", "c1"), ("c2", "tail")] + [("hub", f"k{i}") for i in range(40)]
+    spark.createDataFrame([("r", a, b, "AST_BODY", "1") for a, b in pairs], EDGES).write.parquet(str(tmp_path / "edges.parquet"))
+    out = p2_found(spark, str(tmp_path))
+    assert {(r.node_id, r.root_id, r.depth) for r in out.collect()} == {(k, w[1], w[0]) for k, w in brute(pairs).items()}
+    read = {f.rsplit("/", 2)[1].split("-")[0] for f in out.inputFiles()}
+    assert {"tree", "down"} <= read  # roots and depths are those of the way down
