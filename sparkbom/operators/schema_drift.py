@@ -22,10 +22,15 @@ from sparkbom.session import cut
 
 #: Arrays of objects whose elements count together, with the field that names an element.
 ELEMENTS = {"cryptographic_assets": "asset_id"}
-#: Top-level fields that are not compared.
+#: Further elements of the same fields, rows of the table that take no part in comparisons.
+MORE = {"supporting_artifacts": "asset_id"}
+#: Top-level fields that are not compared; the table holds them.
 SKIPPED = ("supporting_artifacts", "summary")
 LEAVES = "cbom_id long, source string, generated_at timestamp_ntz, field string, types array<string>, keys array<string>, `values` array<string>, positions array<int>"
 
+#: Documents that have a place among those of their source.
+IN_SEQUENCE = "source is not null and generated_at is not null"
+
 
 def json_type(value: object) -> str | None:
     """The raw JSON type of a leaf; None where the value says nothing."""
@@ -48,44 +53,47 @@ def _walk(value: object, path: str) -> Iterator[tuple[str, object]]:
         yield path, value
 
 
-def document_leaves(payload: str | None) -> dict[str, list[tuple[str, str | None, str, int | None]]] | None:
+def document_leaves(payload: str | None, whole: bool = False) -> dict[str, list[tuple[str, str | None, str, int | None]]] | None:
     """path -> (element key, type, value as text, element position) of one document; None if it is no JSON object. The path ''
-    has an entry for each element."""
+    has an entry for each element, with the name of its array as value. Fields that are not compared are left out unless ``whole``."""
     try:
         doc = json.loads(payload)
     except (TypeError, ValueError, RecursionError):
         return None
     if not isinstance(doc, dict):
         return None
+    arrays = ELEMENTS | MORE if whole else ELEMENTS
     out: dict[str, list[tuple[str, str | None, str, int | None]]] = {"": []}
     for name, value in doc.items():
-        if name in SKIPPED:
+        if name in SKIPPED and not whole:
             continue
-        elements = [(str(i), x) for i, x in enumerate(value)] if name in ELEMENTS and isinstance(value, list) else [("", value)]
+        elements = [(str(i), x) for i, x in enumerate(value)] if name in arrays and isinstance(value, list) else [("", value)]
         for i, element in elements:
-            key = str(element.get(ELEMENTS[name]) or f"#{i}") if name in ELEMENTS and isinstance(element, dict) else ""
-            at = int(i or 0) if name in ELEMENTS else None
+            key = str(element.get(arrays[name]) or f"#{i}") if name in arrays and isinstance(element, dict) else ""
+            at = int(i or 0) if name in arrays else None
             if at is not None and (i or element is not None):
-                out[""].append((key, "element", "", at))
+                out[""].append((key, "element", name, at))
             for path, leaf in _walk(element, name):
                 text = leaf if isinstance(leaf, str) else json.dumps(leaf, ensure_ascii=False)
                 out.setdefault(path, []).append((key, json_type(leaf), text, at))
     return out
 
 
-def path_values(docs: DataFrame) -> DataFrame:
-    """One row per document and path: its raw types, and element keys with values. The path '' marks a readable document."""
+def path_values(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """One row per document and path: its raw types, and element keys with values. The path '' marks a readable document. ``whole``
+    adds the fields that are not compared, and documents outside any sequence."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for cbom_id, source, at, payload in part.itertuples(index=False, name=None):
-                for path, found in (document_leaves(payload) or {}).items():
+                for path, found in (document_leaves(payload, whole) or {}).items():
                     said = [x for x in found if x[1]]
                     rows.append((cbom_id, source, at, path, sorted({x[1] for x in said}), [x[0] for x in said], [x[2] for x in said], [x[3] for x in said]))
             yield pd.DataFrame(rows, columns=["cbom_id", "source", "generated_at", "field", "types", "keys", "values", "positions"])
 
-    docs = docs.select("cbom_id", "source", "generated_at", "payload").where("cbom_id is not null and source is not null and generated_at is not null")
+    docs = docs.select("cbom_id", "source", "generated_at", "payload").where("cbom_id is not null")
+    docs = docs if whole else docs.where(IN_SEQUENCE)
     return docs.dropDuplicates(["cbom_id"]).mapInPandas(run, LEAVES)
 
 
@@ -174,45 +182,51 @@ CASTS = {"whole": "bigint", "fractional": "double", "boolean": "boolean", "list"
 
 
 def consistent_table(docs: DataFrame, of: str = "cryptographic_assets") -> DataFrame:
-    """One row per document and element of ``of``, by position, and one with null position for a document without elements. A typed
-    column per canonical field (its most frequent type): those of elements under their path below ``of``, all others under
-    document_ and their path. failed_casts has the columns whose value did not fit. Only names and counts of fields, the size of
-    the schema, reach the driver."""
-    leaves = cut(path_values(docs), "leaves")
+    """One row per document and element of ``of`` and of the arrays MORE, by the array's name (``list``) and position, and one with null
+    position for a document without elements. A typed column per canonical field (its most frequent type): those of elements under
+    their path below their array, all others under document_ and their path. failed_casts has the columns whose value did not fit.
+    Documents without a source or time are rows, too. Only names and counts of fields, the size of the schema, reach the driver."""
+    leaves = cut(path_values(docs, True), "leaves")
     stats = path_statistics(leaves).collect()
-    moves = changes(docs, leaves).where("change = 'renamed'").select("field", "new_field").distinct().collect()
-    inner = lambda field: field == of or field.startswith(f"{of}.")
+    compared = leaves.where(IN_SEQUENCE).where(~F.col("field").rlike(rf"^({'|'.join(SKIPPED)})(\.|$)"))
+    moves = changes(docs, compared).where("change = 'renamed'").select("field", "new_field").distinct().collect()
+    below = lambda field, array: field == array or field.startswith(f"{array}.")
+    inner = lambda field: below(field, of)
+    # the field of ``of`` that a field of another array stands for
+    like = {r.field: next((of + r.field[len(m) :] for m in MORE if below(r.field, m)), r.field) for r in stats}
     count: dict[str, int] = {}
     for r in stats:
-        count[r.field] = count.get(r.field, 0) + r.documents
+        count[like[r.field]] = count.get(like[r.field], 0) + (r.documents if like[r.field] == r.field else 0)
     names = canonical_names(list(count.items()), [tuple(m) for m in moves if m.field in count and inner(m.field) == inner(m.new_field)])
     votes: dict[str, dict[str, int]] = {}
     for r in stats:
-        mine = votes.setdefault(names[r.field], {})
+        mine = votes.setdefault(names[like[r.field]], {})
         mine[r.type] = mine.get(r.type, 0) + r.documents
     kinds = {f: max(v, key=lambda t: (v[t], t)) for f, v in votes.items()}
     read = leaves.where("field = ''")
-    elements = read.select("cbom_id", F.explode_outer(F.arrays_zip("positions", "keys")).alias("x")).select("cbom_id", F.col("x.positions").alias("position"), F.col("x.keys").alias("element"))
-    mapping = leaves.sparkSession.createDataFrame(sorted(names.items()), "field string, canonical string")
-    rows = leaves.join(F.broadcast(mapping), "field").select("cbom_id", "field", "canonical", F.explode(F.arrays_zip("positions", "values")).alias("x"))
+    elements = read.select("cbom_id", F.explode_outer(F.arrays_zip("values", "positions", "keys")).alias("x"))
+    elements = elements.select("cbom_id", F.col("x.values").alias("list"), F.col("x.positions").alias("position"), F.col("x.keys").alias("element"))
+    mapping = leaves.sparkSession.createDataFrame([(f, names[g], g != names[g]) for f, g in sorted(like.items())], "field string, canonical string, other boolean")
+    rows = leaves.join(F.broadcast(mapping), "field").select("cbom_id", F.substring_index("field", ".", 1).alias("list"), "field", "canonical", "other", F.explode(F.arrays_zip("positions", "values")).alias("x"))
     # of two names of one field in one place the canonical one counts
-    value = F.min_by("x.values", F.struct(F.col("field") != F.col("canonical"), "field"))
-    out, typed, failed, taken = elements, [], [], {"cbom_id", "position", "element", "failed_casts"}
-    for part, key in ((True, ["cbom_id", "position"]), (False, ["cbom_id"])):
+    value = F.min_by("x.values", F.struct("other", "field"))
+    out, typed, failed, taken = elements, [], [], {"cbom_id", "list", "position", "element", "failed_casts"}
+    for part, key in ((True, ["cbom_id", "list", "position"]), (False, ["cbom_id"])):
         fields = sorted(f for f in kinds if inner(f) == part)
         if not fields:
             continue
         ids = [f"{part}_{i}" for i in range(len(fields))]
-        wide = rows.where(F.col("x.positions").isNotNull() if part else F.col("x.positions").isNull()).groupBy("cbom_id", F.col("x.positions").alias("position")).pivot("canonical", fields).agg(value)
-        out = out.join(wide.toDF("cbom_id", "position", *ids).select(*key, *ids), key, "left")
+        places = rows.where(F.col("x.positions").isNotNull() if part else F.col("x.positions").isNull())
+        wide = places.groupBy("cbom_id", *([F.col("list"), F.col("x.positions").alias("position")] if part else [])).pivot("canonical", fields).agg(value)
+        out = out.join(wide.toDF(*key, *ids), key, "left")
         for f, i in zip(fields, ids):
             raw, kind = F.col(i), kinds[f]
             cast = F.from_json(raw, "array<string>") if kind == "list" else raw.try_cast(CASTS[kind])
             name = re.sub(r"\W", "_", (f[len(of) + 1 :] or "value") if part else f"document_{f}")
-            while name in taken:
+            while name.lower() in taken:
                 name += "_"
-            taken.add(name)
+            taken.add(name.lower())
             typed.append(cast.alias(name))
             failed.append(F.when(raw.isNotNull() & cast.isNull(), F.lit(name)))
     none = F.array().cast("array<string>")
-    return out.select("cbom_id", "position", "element", *typed, (F.array_compact(F.array(*failed)) if failed else none).alias("failed_casts"))
+    return out.select("cbom_id", "list", "position", "element", *typed, (F.array_compact(F.array(*failed)) if failed else none).alias("failed_casts"))

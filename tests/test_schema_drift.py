@@ -61,3 +61,17 @@ def test_table_holds_documents_and_every_element(spark):
     got = {(r.cbom_id, r.position, r.asset_id, r.n, r.document_level, r.document_spec_version, r.document_metadata_tool, tuple(r.failed_casts)) for r in out}
     want = {(i, k, "a" if k < 2 else None, k + 1 if k < 2 else None, i, "1.0", "t", ()) for i in (1, 2) for k in (0, 1, 2)}
     assert got == want | {(3, None, None, None, None, "2.0", "t", ("document_level",)), (4, None, None, None, 4, None, None, ())} and len(out) == 8
+
+
+def test_table_holds_what_is_not_compared(spark):
+    art = [{"asset_id": "x", "n": 7, "new": "only here"}, {"asset_id": "x", "n": "many"}]
+    rows = [(i, "s", i, doc([{"asset_id": "a", "n": 1}], supporting_artifacts=art, summary={"total": i, "by": {"AES": 2, "aes": 3}})) for i in (1, 2)]
+    rows += [(3, None, 3, doc([], summary={"total": 3})), (4, "s", None, doc([], supporting_artifacts=[{"n": 4}]))]
+    table = D.consistent_table(docs(spark, rows))
+    got = {(r.cbom_id, r.list, r.position, r.asset_id, r.n, r.new, r.document_summary_total, r.document_summary_by_AES, tuple(r.failed_casts)) for r in table.collect()}
+    a, s = "cryptographic_assets", "supporting_artifacts"
+    want = {(i, a, 0, "a", 1, None, i, 2, ()) for i in (1, 2)}
+    want |= {(i, s, 0, "x", 7, "only here", i, 2, ()) for i in (1, 2)} | {(i, s, 1, "x", None, None, i, 2, ("n",)) for i in (1, 2)}
+    assert got == want | {(3, None, None, None, None, None, 3, None, ()), (4, s, 0, None, 4, None, None, None, ())}
+    assert "document_summary_by_aes_" in table.columns and table.count() == 8
+    assert found(spark, rows) == set()
